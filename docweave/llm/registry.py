@@ -1,6 +1,10 @@
 """The queries of this subpackage and the SQL they are compared with."""
 
+from docweave.llm.simhash import op7_simhash_near_dedup
 from docweave.llm.topk import OP8_SQL, op8_exact_top_k
 
-QUERIES = {"op8_exact_top_k": op8_exact_top_k}
+QUERIES = {
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_exact_top_k": op8_exact_top_k,
+}
 ORACLE_SQL = {"op8_exact_top_k": OP8_SQL}
