@@ -1,9 +1,11 @@
 """The queries of this subpackage and the SQL they are compared with."""
 
+from docweave.llm.packing import op5_best_fit_packing
 from docweave.llm.simhash import op7_simhash_near_dedup
 from docweave.llm.topk import OP8_SQL, op8_exact_top_k
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_exact_top_k": op8_exact_top_k,
 }
