@@ -2,11 +2,13 @@
 
 from docweave.llm.packing import op5_best_fit_packing
 from docweave.llm.simhash import op7_simhash_near_dedup
+from docweave.llm.substrings import op9_suffix_array_dedup
 from docweave.llm.topk import OP8_SQL, op8_exact_top_k
 
 QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op8_exact_top_k": op8_exact_top_k,
 }
 ORACLE_SQL = {"op8_exact_top_k": OP8_SQL}
