@@ -1,12 +1,16 @@
 """The queries of this subpackage and the SQL they are compared with."""
 
+from docweave.llm.neighbours import op2_quality_classifier
 from docweave.llm.packing import op5_best_fit_packing
 from docweave.llm.rules import op3_quality_rules
 from docweave.llm.simhash import op7_simhash_near_dedup
 from docweave.llm.substrings import op9_suffix_array_dedup
+from docweave.llm.toxicity import op10_toxicity
 from docweave.llm.topk import OP8_SQL, op8_exact_top_k
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op10_toxicity": op10_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
