@@ -22,39 +22,42 @@ _BITS = 20
 _PAD = max(ORDERS)
 
 
-def gram_codes(data: np.ndarray, at: np.ndarray | slice, order: int) -> np.ndarray:
-    """Hashes, below 2**_BITS, of the `order` bytes from each position on."""
+def gram_codes(data: np.ndarray):
+    """For each of ORDERS the hashes, below 2**_BITS, of as many bytes from each position on (zeros past the end)."""
+    out, done = np.full(len(data), np.uint32(0x811C9DC5), dtype=np.uint32), 0
     with np.errstate(over="ignore"):
-        out = np.full(len(data), np.uint32(order * 7919), dtype=np.uint32)
-        for k in range(order):
-            out[: len(data) - k] = (out[: len(data) - k] * np.uint32(0x01000193)) ^ data[k:]
-        out *= np.uint32(2654435761)
-    return out[at] >> np.uint32(32 - _BITS)
-
-
-def features(documents: list[str | None], table: np.ndarray | None = None):
-    """Pairs (row, feature), each once, in order of row. table maps codes to feature numbers, -1 for none."""
-    texts = [b" " + t.lower().encode(errors="replace") + b" " if t else b"" for t in documents]
-    for first, _, data, row, own in joined(texts, _PAD):
-        pairs = []
         for order in ORDERS:
-            code = gram_codes(data, own, order)
-            if table is None:
-                pairs.append((row[own].astype(np.int64) << _BITS) | code)
-            else:
-                number = table[code]
-                hit = number >= 0
-                pairs.append((row[own][hit].astype(np.int64) << _BITS) | number[hit])
-        yield first, np.unique(np.concatenate(pairs))
+            for k in range(done, order):
+                out *= np.uint32(0x01000193)
+                out[: len(data) - k] ^= data[k:]
+            done = order
+            yield (out * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
 
 
-def present(documents: list[str | None], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first, pairs in features(documents, table):
-        rows.append((pairs >> _BITS) + first)
-        found.append(pairs & ((1 << _BITS) - 1))
-    pairs = np.unique((np.concatenate(rows) << _BITS) | np.concatenate(found))  # long texts come in pieces
-    return pairs >> _BITS, pairs & ((1 << _BITS) - 1)
+def _bytes(documents: list[str | None]) -> list[bytes]:
+    return [b" " + t.lower().encode(errors="replace") + b" " if t else b"" for t in documents]
+
+
+def distinct_codes(document: str | None, seen: np.ndarray) -> np.ndarray:
+    """The codes of a text, each once. seen: 2**_BITS false values, which it leaves so."""
+    for _, _, data, _, own in joined(_bytes([document]), _PAD, 1 << 18):
+        for code in gram_codes(data):
+            seen[code[own]] = True
+    found = np.flatnonzero(seen)
+    seen[found] = False
+    return found
+
+
+def present(documents: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of every feature that a text has, each once, in order of row; table gives the feature of a code, -1 for none."""
+    pairs = [np.zeros(0, np.int64)]
+    for first, _, data, row, own in joined(_bytes(documents), _PAD, 1 << 18):
+        for code in gram_codes(data):
+            number = table[code]
+            hit = np.flatnonzero((number >= 0) & own)
+            pairs.append(((row[hit] + first) << _BITS) | number[hit])
+    both = np.unique(np.concatenate(pairs))
+    return both >> _BITS, both & ((1 << _BITS) - 1)
 
 
 def logistic_regression(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int, ridge: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -89,8 +92,12 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="toxic", limit=16000, keep=20000, least_z=3.0) -> Toxicity:
-    """Fits on at most `limit` labelled ids, half of them toxic; at most `keep` features reach the driver."""
+def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="toxic", limit=16000, keep=20000, least_z=3.0, least_ratio=1.0) -> Toxicity:
+    """Fits on at most `limit` labelled ids, half of them toxic.
+
+    The features, at most `keep`, are those whose log-count ratio is at least least_ratio and least_z standard errors away from zero;
+    grams that merely follow a text's language are not.
+    """
     marks = labels.select(F.col(id_col), F.col(label_col))
     sample = stored(labelled_sample(documents, marks, id_col, text_col, label_col, train, {0: limit // 2, 1: limit // 2}), "toxic-sample")
     sizes = {r["y"]: (r["n"], r["whole"]) for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).collect()}
@@ -99,12 +106,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id"
 
     def count(batches):
         seen = np.zeros((2, 1 << _BITS), dtype=np.int64)
+        scratch = np.zeros(1 << _BITS, dtype=bool)
         for b in batches:
-            y = b.column(1).to_numpy()
-            for at in range(0, b.num_rows, 500):
-                row, code = present(b.column(0).slice(at, 500).to_pylist())
-                for k in (0, 1):
-                    seen[k] += np.bincount(code[y[at : at + 500][row] == k], minlength=1 << _BITS)
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[y, distinct_codes(text, scratch)] += 1
         met = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[0, met]), pa.array(seen[1, met])], names=["code", "q", "p"])
 
@@ -112,7 +117,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id"
     counts = sample.select("text", "y").mapInArrow(count, "code long, q long, p long").groupBy("code").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
     ratio = F.log(((F.col("p") + 1) / (n1 + 2)) / ((F.col("q") + 1) / (n0 + 2)))
     z = F.abs(ratio) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
-    top = counts.select("code", ratio.alias("r"), z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "code").limit(keep).toPandas()
+    top = counts.select("code", ratio.alias("r"), z.alias("z")).where((F.col("z") >= least_z) & (F.abs("r") >= least_ratio)).orderBy(F.desc("z"), "code").limit(keep).toPandas()
     table = np.full(1 << _BITS, -1, np.int32)
     table[top.code.to_numpy()] = np.arange(len(top), dtype=np.int32)
     if not len(top):
