@@ -2,6 +2,7 @@
 
 from docweave.llm.neighbours import op2_quality_classifier
 from docweave.llm.packing import op5_best_fit_packing
+from docweave.llm.pieces import op6_sentencepiece
 from docweave.llm.rules import op3_quality_rules
 from docweave.llm.simhash import op7_simhash_near_dedup
 from docweave.llm.substrings import op9_suffix_array_dedup
@@ -9,6 +10,7 @@ from docweave.llm.toxicity import op10_toxicity
 from docweave.llm.topk import OP8_SQL, op8_exact_top_k
 
 QUERIES = {
+    "op6_sentencepiece": op6_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
     "op10_toxicity": op10_toxicity,
     "op3_quality_rules": op3_quality_rules,
