@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL they are compared with."""
 
 from docweave.llm.chat import op1_chat_formatting
+from docweave.llm.licenses import op4_license_scan
 from docweave.llm.neighbours import op2_quality_classifier
 from docweave.llm.packing import op5_best_fit_packing
 from docweave.llm.pieces import op6_sentencepiece
@@ -11,6 +12,7 @@ from docweave.llm.toxicity import op10_toxicity
 from docweave.llm.topk import OP8_SQL, op8_exact_top_k
 
 QUERIES = {
+    "op4_license_scan": op4_license_scan,
     "op1_chat_formatting": op1_chat_formatting,
     "op6_sentencepiece": op6_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
