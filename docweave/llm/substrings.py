@@ -340,6 +340,25 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.mapInArrow(cut, T.StructType(fields))
 
 
+def cut_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, cap: int = 1024) -> DataFrame:
+    """documents with what remove_repeats leaves of each text in its place; null texts stay null.
+
+    A character that a cut leaves incomplete goes too.
+    """
+    out = remove_repeats(documents, id_col, text_col, length, cap)
+    kept = out.columns[-2]
+    at = documents.columns.index(text_col)
+
+    def put(batches):
+        for b in batches:
+            new = [x.decode(errors="ignore") if given else None for x, given in zip(b.column(b.num_columns - 1).to_pylist(), b.column(at).is_valid().to_pylist())]
+            columns = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    fields = [T.StructField(f.name, T.StringType()) if i == at else f for i, f in enumerate(documents.schema.fields)]
+    return out.select(*documents.columns, kept).mapInArrow(put, T.StructType(fields))
+
+
 def op9_suffix_array_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs)
