@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +113,41 @@ class DoubleArray:
                 yield end + 1, int(self.value[state])
 
 
+class SegmentCache:
+    """Segments that were encoded before: their place in one array of ids."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most, self.place = most, {}
+        self.ids, self.used = np.empty(1 << 16, dtype=np.int32), 0
+        self.starts, self.sizes = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int32)
+
+    def clear(self) -> None:
+        self.place.clear()
+        self.used = 0
+
+    def add(self, segments: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known = len(self.place)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while known + len(segments) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[known : known + len(segments)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[known : known + len(segments)] = sizes
+        self.used += len(ids)
+        self.place.update(zip(segments, range(known, known + len(segments))))
+
+    def get(self, segments: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.place.__getitem__, segments), dtype=np.int64, count=len(segments))
+        return gathered(self.ids, self.starts[at], self.sizes[at])
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at starts, one after the other."""
+    before = np.cumsum(sizes, dtype=np.int64) - sizes
+    return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
 @dataclass
 class Pieces:
     """A vocabulary, ready to encode and decode."""
@@ -127,7 +162,10 @@ class Pieces:
     squeeze: bool
     longest: int
     segmented: bool
-    cache: dict = field(default_factory=dict)
+    unknown_score: float
+    texts: np.ndarray  # what each piece stands for, end to end, and where each begins
+    text_starts: np.ndarray
+    cache: SegmentCache | None = None
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -158,19 +196,20 @@ class Pieces:
                 byte_ids[int(p[1:-1], 16)] = i
         unknown = next((i for i, r in enumerate(rows) if r[2] == _UNKNOWN), 0)
         within = any(MARK in rows[i][0].lstrip(MARK) for i in own)
-        return cls([r[0] for r in rows], [r[2] for r in rows], np.array([r[1] for r in rows]), DoubleArray(keys, own), byte_ids, unknown, dummy_prefix, squeeze, max(map(len, keys), default=1), not within)
+        worst = min((s for _, s, kind in rows if kind == _NORMAL), default=0.0) - _PENALTY
+        stands_for = [{_BYTE: lambda p: bytes([int(p[1:-1], 16)]), _UNKNOWN: lambda _: " ⁇ ".encode(), _CONTROL: lambda _: b""}.get(kind, lambda p: p.replace(MARK, " ").encode())(p) for p, _, kind in rows]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in stands_for])])
+        texts = np.frombuffer(b"".join(stands_for), np.uint8)
+        longest = max(map(len, keys), default=1)
+        return cls([r[0] for r in rows], [r[2] for r in rows], np.array([r[1] for r in rows]), DoubleArray(keys, own), byte_ids, unknown, dummy_prefix, squeeze, longest, not within, worst, texts, starts)
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": None}
 
     def _fallback(self, char: bytes) -> list[int]:
         ids = [int(self.byte_ids[b]) for b in char]
         return ids if min(ids) >= 0 else [self.unknown_id]
 
-    def _unknown_score(self) -> float:
-        own = [s for s, k in zip(self.scores.tolist(), self.kinds) if k == _NORMAL]
-        return min(own, default=0.0) - _PENALTY
-
     def normalised(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -181,7 +220,7 @@ class Pieces:
     def viterbi(self, segment: bytes) -> list[int]:
         """The segmentation with the largest sum of scores; of equal ones that with the longest last piece."""
         best, back = [0.0] + [_NEVER] * len(segment), [(0, -1)] * (len(segment) + 1)
-        unknown = self._unknown_score()
+        unknown = self.unknown_score
         at = 0
         while at < len(segment):
             for end, piece in self.trie.prefixes(segment, at):
@@ -200,8 +239,8 @@ class Pieces:
             at = before
         return [i for part in reversed(out) for i in part]
 
-    def viterbi_many(self, segments: list[bytes]) -> list[list[int]]:
-        """viterbi of each of several segments of one length, all at once."""
+    def viterbi_many(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """viterbi of each of several segments of one length, all at once: ids end to end, and how many each has."""
         n, length = len(segments), len(segments[0])
         codes = np.frombuffer(b"".join(segments), np.uint8).reshape(n, length).astype(np.int32)
         best = np.full((n, length + 1), _NEVER)
@@ -210,7 +249,7 @@ class Pieces:
         chosen = np.full((n, length + 1), -1, dtype=np.int32)
         lead = np.ones((n, length + 1), dtype=bool)
         lead[:, :length] = codes & 0xC0 != 0x80
-        unknown = self._unknown_score()
+        unknown = self.unknown_score
         for at in range(length):
             rows = np.flatnonzero(lead[:, at])
             states, live = np.zeros(len(rows), dtype=np.int32), rows
@@ -232,59 +271,59 @@ class Pieces:
             up = score > best[rows, ends]
             hit, ends = rows[up], ends[up]
             best[hit, ends], origin[hit, ends], chosen[hit, ends] = score[up], at, -1
-        out = []
-        for text, back, piece in zip(segments, origin.tolist(), chosen.tolist()):
-            parts, at = [], length
-            while at:
-                before = back[at]
-                parts.append([piece[at]] if piece[at] >= 0 else self._fallback(text[before:at]))
-                at = before
-            out.append([i for part in reversed(parts) for i in part])
-        return out
-
-    def _remember(self, segments) -> None:
-        if len(self.cache) > 400_000:
-            self.cache.clear()
+        rows, at, found = np.arange(n), np.full(n, length), []
+        while len(rows):
+            before, piece = origin[rows, at], chosen[rows, at]
+            known = piece >= 0
+            found.append((rows[known], before[known], piece[known]))
+            for r, lo, hi in zip(rows[~known], before[~known], at[~known]):
+                ids = self._fallback(segments[r][lo:hi])
+                found.append((np.full(len(ids), r), lo + np.arange(len(ids)), np.array(ids, dtype=np.int32)))
+            rows, at = rows[before > 0], before[before > 0]
+        rows, places, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(rows * (length + 1) + places, kind="stable")
+        return ids[order], np.bincount(rows, minlength=n)
+
+    def _remember(self, segments: list[str]) -> None:
+        cache = self.cache
         by_length: dict[int, list[str]] = {}
         for s in segments:
-            if s not in self.cache:
-                by_length.setdefault(len(s.encode(errors="replace")), []).append(s)
+            if s not in cache.place:
+                by_length.setdefault(len(s) if s.isascii() else len(s.encode(errors="replace")), []).append(s)
         for length, group in by_length.items():
-            many = max(1, 1_000_000 // length)
+            many = max(1, 200_000 // length)
             for at in range(0, len(group), many):
                 part = group[at : at + many]
                 raw = [s.encode(errors="replace") for s in part]
-                ids = self.viterbi_many(raw) if len(raw) > 3 and length <= 256 else map(self.viterbi, raw)
-                self.cache.update(zip(part, ids))
-
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+                if len(raw) > 3 and length <= 256:
+                    cache.add(part, *self.viterbi_many(raw))
+                else:
+                    ids = [self.viterbi(r) for r in raw]
+                    cache.add(part, np.array([i for x in ids for i in x], dtype=np.int32), np.array([len(x) for x in ids], dtype=np.int64))
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.cache is None:
+            self.cache = SegmentCache()
         pattern = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        split = [pattern.findall(t) if self.segmented else [t] * bool(t) for t in (self.normalised(t or "") for t in texts)]
-        out: list[list[int]] = []
-        group: list[list[str]] = []
+        out: list[np.ndarray] = []
+        held: list[list[str]] = []
         size = 0
-        for i, segments in enumerate(split):  # so that what one round needs is in the cache together
-            group.append(segments)
-            size += len(segments)
-            if size >= 200_000 or i == len(split) - 1:
-                self._remember(dict.fromkeys(s for g in group for s in g))
-                cache = self.cache
-                out += [[i for s in g for i in cache[s]] for g in group]
-                group, size = [], 0
+        for i, text in enumerate(texts):
+            whole = self.normalised(text or "")
+            held.append(pattern.findall(whole) if self.segmented else [whole] * bool(whole))
+            size += len(held[-1])
+            if size >= 200_000 or i == len(texts) - 1:  # what one round needs is in the cache together
+                if len(self.cache.place) > self.cache.most:
+                    self.cache.clear()
+                self._remember(list(dict.fromkeys(s for segments in held for s in segments)))
+                out += map(self.cache.get, held)
+                held, size = [], 0
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The text: bytes of byte pieces join, markers become spaces, the dummy prefix goes; invalid bytes are replaced."""
-        parts = []
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == _BYTE:
-                parts.append(bytes([int(self.pieces[i][1:-1], 16)]))
-            elif kind == _UNKNOWN:
-                parts.append(" ⁇ ".encode())
-            elif kind != _CONTROL:
-                parts.append(self.pieces[i].replace(MARK, " ").encode())
-        text = b"".join(parts).decode(errors="replace")
+        ids = np.asarray(ids, dtype=np.int64)
+        text = gathered(self.texts, self.text_starts[ids], self.text_starts[ids + 1] - self.text_starts[ids]).tobytes().decode(errors="replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -323,10 +362,9 @@ def round_trips(documents: DataFrame, model: Pieces, id_col: str = "doc_id", tex
     def digest(m: Pieces, texts):
         ids = m.encode_batch(texts)
         is_byte = np.array([k == _BYTE for k in m.kinds])
-        arrays = [np.array(x, dtype="<u4") for x in ids]
         back = [m.decode(x) == (t or "") for x, t in zip(ids, texts)]
-        columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(is_byte[x].sum()) for x in arrays], pa.int64())]
-        return ["n_pieces", "n_byte_pieces", "ids_crc32", "round_trip"], [*columns, pa.array([zlib.crc32(x.tobytes()) for x in arrays], pa.int64()), pa.array(back, pa.bool_())]
+        columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64())]
+        return ["n_pieces", "n_byte_pieces", "ids_crc32", "round_trip"], [*columns, pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(back, pa.bool_())]
 
     return _applied(documents, text_col, id_col, model, digest, "n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean")
 
