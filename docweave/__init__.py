@@ -1 +1 @@
-"""docweave: a PySpark-native engine for querying, reshaping and editing JSON documents."""
+"""docweave: a PySpark-native engine for querying, reshaping and editing JSON documents held in DataFrame columns."""
