@@ -245,7 +245,8 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     runs = stored(docs.where(F.octet_length("text") >= length).mapInArrow(lambda b: _runs(b, length), f"doc_id {kind}, th long, {_RUN_DDL}"), "runs")
     anchors = runs.groupBy("g").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("z")).where("n > 1")
-    shared = stored(runs.join(anchors.select("g", F.expr("a = z").alias("alike")), "g"), "shared-runs")
+    anchors = stored(anchors.select("g", F.expr("a = z").alias("alike")), "anchors")  # apart, so that the join of a hot anchor can be split
+    shared = stored(runs.join(anchors, "g"), "shared-runs")
     window = lambda df: df.select("doc_id", "th", F.expr("at - high").alias("s"), F.expr(f"at - low + {length}").alias("e"))
     spans = [window(shared.where("alike"))]
 
