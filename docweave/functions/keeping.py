@@ -16,7 +16,9 @@ def kept(tree: K.Keep, document: str, strict: bool = False, style: str | int = C
 
     Missing members are left out and values of the wrong kind become null, unless strict: then they are errors.
     """
-    return _kept(tree, document.strip(" \t\n\r"), strict, style, 0)
+    value = document.strip(" \t\n\r")
+    J.kind_of(value)
+    return _kept(tree, value, strict, style, 0)
 
 
 def _wrong(want: str, strict: bool) -> str:

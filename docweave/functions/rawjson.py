@@ -172,22 +172,17 @@ def compacted(text: str) -> str:
 
 
 def depth_of(text: str) -> int:
-    """How deep containers nest, counting the level of the leaves: 1 for {"a":1}, 3 for [[[1]]]; an empty container adds none."""
+    """How many containers the deepest value lies in: 1 for {"a":1} and [[]], 3 for [[[1]]], 0 for a scalar or an empty container."""
     depth = deepest = 0
-    fresh = False
     for found in re.finditer(r'"(?:[^"\\]|\\.)*"|[][{}]|[^\s,:\][{}"]+', text, re.DOTALL):
         sign = found[0]
-        if sign in "{[":
-            depth, fresh = depth + 1, True
-        elif sign in "}]":
-            depth, fresh = depth - 1, False
+        if sign in "}]":
+            depth -= 1
             if depth < 0:
                 raise InvalidSyntax("an unopened container")
-        else:
-            if fresh:
-                deepest = max(deepest, depth)
-            fresh = False
-            deepest = max(deepest, depth)
+            continue
+        deepest = max(deepest, depth)
+        depth += sign in "{["
     if depth:
         raise InvalidSyntax("an unfinished container")
     return deepest
@@ -195,7 +190,7 @@ def depth_of(text: str) -> int:
 
 def number_text(x: float) -> str:
     """A computed number: whole ones below 1e15 without a point, others with the fewest digits that give them back, no exponent."""
-    if x == int(x) if abs(x) < 1e15 else False:
+    if abs(x) < 1e15 and x == int(x):
         return str(int(x))
     text = repr(float(x))
     if "e" in text or "E" in text:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from docweave.functions.build import ArrayBuilder, JsonWriter, ObjectBuilder, array_from, object_from
 from docweave.operators import columns as C
 from docweave.operators.frames import card_lines, cards, each, each_card
+from docweave.operators.plan import Plan
+from docweave.operators.sql import register
 from docweave.operators.transform import TransformPipeline
 from docweave.operators.views import View, ViewField
 from docweave.queries.base import LINES, event_docs, order_docs, part_docs, query, scratch, table
@@ -184,3 +186,33 @@ def build_driver(spark, d):
 def strings(spark, d):
     text = F.concat("p_name", F.lit('"\n'))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), C.escaped(text).alias("escaped"), C.unescaped(C.escaped(text)).alias("text"), C.unescaped(F.lit("12")).alias("none"))
+
+
+@query("plans", "SELECT p_partkey AS id, '{\"id\":' || p_partkey || '}' AS kept, p_name AS title, CAST(NULL AS VARCHAR) AS strict, true AS whole FROM part")
+def plans(spark, d):
+    """Plans built once: keep lists, expressions, the whole document, strict or not."""
+    docs, text = part_docs(spark, d), F.col("value")
+    strict = Plan.of_paths(["id", "nothing"]).with_missing(True)
+    return docs.select(
+        F.col("key").alias("id"), Plan.of_paths(["id"]).apply(text).alias("kept"), C.unescaped(Plan.of_jmes("title").apply(text)).alias("title"),
+        strict.apply(text).alias("strict"), (Plan.identity().apply(text) == text).alias("whole"),
+    )
+
+
+@query("card_bytes", "SELECT CAST(sum(strlen('{\"part\":' || l_partkey || '}') + 1) AS BIGINT) AS n_bytes, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def card_bytes(spark, d):
+    return jsonl.written_bytes(card_lines(order_docs(spark, d), "value", "lines[*].{part: part}"))
+
+
+@query("sql_functions", "SELECT event_id AS id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{\"id\":' || event_id || '}' AS kept, '1' AS one, 'x' AS two, CAST(NULL AS VARCHAR) AS gone FROM events")
+def sql_functions(spark, d):
+    register(spark)
+    event_docs(spark, d).createOrReplaceTempView("docweave_events")
+    return spark.sql("""
+        SELECT key AS id, from_json(concat('[', json_jmes(value, 'type'), ']'), 'array<string>')[0] AS kind,
+               CAST(json_find(value, 'props.k') AS BIGINT) AS k, json_keep(value, 'id,nothing') AS kept,
+               json_find(json_set(value, 'type', '1'), 'type') AS one,
+               json_find(json_upsert(json_merge_patch(value, '{"a": {}}'), 'a.b', '"x"'), 'a.b') AS quoted,
+               json_find(json_delete(value, 'type'), 'type') AS gone
+        FROM docweave_events
+    """).select("id", "kind", "k", "kept", "one", C.unescaped(F.col("quoted")).alias("two"), "gone")
