@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.common import mapped
+
 ROLES = ("system", "user", "assistant")
 #: Names that speakers of each role go by in transcripts.
 NAMES = {
@@ -204,7 +206,7 @@ def format_chats(parts: DataFrame, id_col: str, order_col: Column | str, text_co
         return pa.RecordBatch.from_arrays([pa.array(i, id_type), *(pa.array(x, t) for x, t in zip(rest, types))], names=["id", *names])
 
     dealt = rows.repartition("id").sortWithinPartitions("id", "o", "t")
-    return dealt.mapInArrow(run, f"id {kind}, turn int, role string, content string, rendered string")
+    return mapped(dealt, run, f"id {kind}, turn int, role string, content string, rendered string")
 
 
 #: How the query writes the speaker of a turn, by conversation.

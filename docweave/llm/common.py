@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -39,6 +41,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, after whose partitions the workers give the memory back that they no longer need."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have yet, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

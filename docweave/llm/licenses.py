@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import raw
+from docweave.llm.common import mapped, raw
 
 #: Names and characteristic sentences of public licenses.
 NAMES: dict[str, list[str]] = {
@@ -270,7 +270,7 @@ def license_findings(documents: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(own))], names=["doc_id", "findings"])
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {kind}, findings array<struct<start: long, end: long, family: string, probability: double, similarity: double>>")
+    return mapped(docs, run, f"doc_id {kind}, findings array<struct<start: long, end: long, family: string, probability: double, similarity: double>>")
 
 
 def op4_license_scan(spark, sf_dir):

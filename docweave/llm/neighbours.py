@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import fresh, raw
+from docweave.llm.common import fresh, mapped, raw
 from docweave.llm.labelled import fold, joined, labelled_sample
 
 _SHAPES, _GRAMS, _ECHOES = 1024, 1024, 2
@@ -128,7 +128,7 @@ def fit_neighbours(documents: DataFrame, labels: DataFrame, train, id_col="doc_i
             terms = term_weights(raw(b.column(0))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in terms], pa.binary()), b.column(1), b.column(2)], names=["terms", "y", "whole"])
 
-    rows = both.select("text", "y", "whole").mapInArrow(describe, "terms binary, y int, whole long").toPandas()
+    rows = mapped(both.select("text", "y", "whole"), describe, "terms binary, y int, whole long").toPandas()
     rows = rows.sort_values(["y", "terms"], kind="stable")
     terms = np.array([np.frombuffer(t, np.float16) for t in rows.terms], dtype=np.float32).reshape(len(rows), TERMS)
     y = rows.y.to_numpy()
@@ -151,7 +151,7 @@ def with_quality(documents: DataFrame, model: Neighbours, text_col: str, name: s
             out = pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array(scores)], names=[*keep, name])
             yield out if at_least is None else out.filter(pa.array(scores >= at_least))
 
-    return documents.mapInArrow(add, T.StructType([documents.schema.fields[i] for i in places] + [T.StructField(name, T.DoubleType())]))
+    return mapped(documents, add, T.StructType([documents.schema.fields[i] for i in places] + [T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **fit) -> DataFrame:

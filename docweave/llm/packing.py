@@ -13,13 +13,14 @@ import os
 import re
 import zlib
 from collections import deque
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored, texts
+from docweave.llm.common import mapped, stored, texts
 
 #: Texts of these characters are split alike by both tokenizer libraries, whatever their Unicode versions.
 _PLAIN = re.compile("[\x00-ɏ]*")
@@ -40,31 +41,40 @@ def encoder(vocabulary: str, ranks: str | None):
     within a text are ordinary text.
     """
     if (vocabulary, ranks) not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _loaded[vocabulary, ranks] = _encoder(vocabulary, ranks)
+    return _loaded[vocabulary, ranks]
+
+
+def _encoder(vocabulary: str, ranks: str | None):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+    @cache
+    def slow():
         from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(vocabulary)
-        slow.encode_special_tokens = True
-        fast = None
-        if ranks:
-            import base64
+        out = Tokenizer.from_file(vocabulary)
+        out.encode_special_tokens = True
+        return out
 
-            import public_tokenizers
-            import tiktoken
+    @cache
+    def fast():
+        import base64
 
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        import public_tokenizers
+        import tiktoken
 
-        def encode(batch: list[str]):
-            for text in batch:
-                if fast is not None and _PLAIN.fullmatch(text):
-                    yield fast.encode_ordinary(text)
-                else:
-                    yield slow.encode(text, add_special_tokens=False).ids
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-        _loaded[vocabulary, ranks] = encode
-    return _loaded[vocabulary, ranks]
+    def encode(batch: list[str]):
+        for text in batch:
+            if ranks and _PLAIN.fullmatch(text):
+                yield fast().encode_ordinary(text)
+            else:
+                yield slow().encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 class CapacityTree:
@@ -165,7 +175,7 @@ def tokenised(documents: DataFrame, id_col: str, text_col: str, vocabulary: str,
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []), names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return mapped(docs, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def best_fit_pack(
@@ -221,7 +231,7 @@ def best_fit_pack(
 
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(kept).schema.fields)
-    return ranked.select(*kept, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return mapped(ranked.select(*kept, "rank"), place, f"{fields}, sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark, sf_dir):

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.common import mapped
+
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: How much worse than the worst piece a character is that no piece covers.
@@ -339,7 +341,7 @@ def _applied(df: DataFrame, col: str, id_col: str, model: Pieces, function, sche
                 names, arrays = function(shared.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", *names])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(col).alias("v")).mapInArrow(run, f"doc_id {kind}, {schema}")
+    return mapped(df.select(F.col(id_col).alias("doc_id"), F.col(col).alias("v")), run, f"doc_id {kind}, {schema}")
 
 
 def encode(documents: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import fresh, stored
+from docweave.llm.common import mapped, raw, stored
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -91,11 +91,11 @@ def with_measures(documents: DataFrame, text_col: str, names: list[str], keep: l
 
     def add(batches):
         for b in batches:
-            found = np.array([measure(t) for t in b.column(at).cast(pa.large_binary()).to_pylist()], dtype=np.int64).reshape(-1, len(MEASURES))
+            found = np.array([measure(t) for t in raw(b.column(at))], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), *map(pa.array, found.T.copy())], names=[*keep, *names])
 
     fields = [documents.schema.fields[i] for i in places] + [T.StructField(n, T.LongType()) for n in names]
-    return documents.mapInArrow(add, T.StructType(fields))
+    return mapped(documents, add, T.StructType(fields))
 
 
 def binomial_tail(n: int, x: int, p: float) -> float:
@@ -190,12 +190,18 @@ def keep_by_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
     """
     found = stored(_measured(documents, id_col, text_col, stratum_col), "measures")
     cutoffs = fit_cutoffs(found, labels.select(F.col(id_col).alias("doc_id"), "quality"), "stratum", "doc_id", alpha=alpha, delta=delta)
-    inner = fresh(documents, "row_")[0]
-    # the row travels as one struct, so that no column of it can clash with a measure
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
-    rows = documents.select(F.struct(*documents.columns).alias(inner), stratum.alias("stratum"), F.col(text_col).cast("string").alias("measured_text"))
-    rows = with_measures(rows, "measured_text", MEASURES, [inner, "stratum"])
-    return rows.where(~F.expr(BASE_FAILED) & verdict(cutoffs, "stratum")).select(f"{inner}.*")
+    # the row travels as one struct, so that no column of it can clash with a measure
+    rows = documents.select(F.struct(*documents.columns).alias("row"), stratum.alias("stratum"))
+    at = documents.columns.index(text_col)
+
+    def add(batches):
+        for b in batches:
+            found = np.array([measure(t) for t in raw(b.column(0).field(at))], dtype=np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, found.T.copy())], names=[*b.schema.names, *MEASURES])
+
+    rows = mapped(rows, add, T.StructType(rows.schema.fields + [T.StructField(n, T.LongType()) for n in MEASURES]))
+    return rows.where(~F.expr(BASE_FAILED) & verdict(cutoffs, "stratum")).select("row.*")
 
 
 def op3_quality_rules(spark, sf_dir):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import fresh, raw, stored
+from docweave.llm.common import fresh, mapped, raw, stored
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -73,7 +73,7 @@ def with_fingerprint(documents: DataFrame, text_col: str, name: str) -> DataFram
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints(raw(b.column(at))).view(np.int64))], names=[*b.schema.names, name])
 
-    return documents.mapInArrow(add, T.StructType([*documents.schema.fields, T.StructField(name, T.LongType())]))
+    return mapped(documents, add, T.StructType([*documents.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def links(distinct: DataFrame, hot: int = 64) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import fresh, raw, stored
+from docweave.llm.common import fresh, mapped, raw, stored
 from docweave.llm.suffix_array import suffix_array
 
 GRAM = 40
@@ -243,7 +243,7 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
     kind = documents.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    runs = stored(docs.where(F.octet_length("text") >= length).mapInArrow(lambda b: _runs(b, length), f"doc_id {kind}, th long, {_RUN_DDL}"), "runs")
+    runs = stored(mapped(docs.where(F.octet_length("text") >= length), lambda b: _runs(b, length), f"doc_id {kind}, th long, {_RUN_DDL}"), "runs")
     anchors = runs.groupBy("g").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("z")).where("n > 1")
     anchors = stored(anchors.select("g", F.expr("a = z").alias("alike")), "anchors")  # apart, so that the join of a hot anchor can be split
     shared = stored(runs.join(anchors, "g"), "shared-runs")
@@ -269,16 +269,16 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
 
     here = docs.alias("d").join(needed.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.th = w.th")).select("d.doc_id", "d.th", "d.text", "w.w")
     row_ddl = f"doc_id {kind}, th long, {_RUN_DDL}, n long, crowd long, covered binary"
-    members = stored(here.mapInArrow(extract, row_ddl), "members")
+    members = stored(mapped(here, extract, row_ddl), "members")
     width = length - GRAM + 1
     while True:
         small = members.where(F.col("crowd") <= cap).repartition("g").sortWithinPartitions("g")
-        spans.append(small.mapInArrow(lambda b: _spans_of(b, length, 2 * cap), f"doc_id {kind}, th long, s long, e long"))
+        spans.append(mapped(small, lambda b: _spans_of(b, length, 2 * cap), f"doc_id {kind}, th long, s long, e long"))
         crowded = members.where(F.col("crowd") > cap)
         if width == 1 or crowded.isEmpty():
             break
         width = -(-width // 4)
-        cut = stored(crowded.drop("crowd").mapInArrow(lambda b, w=width: _cut(b, length, w), row_ddl.replace("crowd long, ", "")), "cut-runs")
+        cut = stored(mapped(crowded.drop("crowd"), lambda b, w=width: _cut(b, length, w), row_ddl.replace("crowd long, ", "")), "cut-runs")
         alike = cut.groupBy("g", "f").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
         spans.append(window(cut.join(alike.where("rows > 1").select("g", "f"), ["g", "f"], "left_semi")))
         crowds = alike.groupBy("g").agg(F.count("*").alias("crowd")).where("crowd > 1")
@@ -311,6 +311,16 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
+def _with_spans(documents: DataFrame, id_col: str, text_col: str, length: int, cap: int) -> tuple[DataFrame, str]:
+    """documents with the spans of their repeats, and the name of that column."""
+    spans = repeated_spans(documents, id_col, text_col, length, cap)
+    removed, th, key = fresh(documents, "removed", "text_hash_", "key_")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    left = documents.withColumn(th, F.xxhash64(text))
+    right = spans.select(F.col("doc_id").alias(key), F.col("th").alias(th + "r"), F.col("spans").alias(removed))
+    return left.join(right, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(th + "r")), "left").select(*documents.columns, removed), removed
+
+
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, cap: int = 1024) -> DataFrame:
     """documents with two more columns: kept_bytes (binary, what is left of the text) and removed (array of [s, e) structs).
 
@@ -321,12 +331,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     their ids, nulls included. An empty table gives no rows. If documents has columns of these names, the new ones get a leading
     underscore.
     """
-    spans = repeated_spans(documents, id_col, text_col, length, cap)
-    kept, removed, th, key = fresh(documents, "kept_bytes", "removed", "text_hash_", "key_")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    left = documents.withColumn(th, F.xxhash64(text))
-    right = spans.select(F.col("doc_id").alias(key), F.col("th").alias(th + "r"), F.col("spans").alias(removed))
-    joined = left.join(right, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(th + "r")), "left").select(*documents.columns, removed)
+    joined, removed = _with_spans(documents, id_col, text_col, length, cap)
+    (kept,) = fresh(documents, "kept_bytes")
     at = documents.columns.index(text_col)
     span_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
@@ -337,8 +343,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             new = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], span_type)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(left, pa.binary()), new], names=[*b.schema.names[:-1], kept, removed])
 
-    fields = [*documents.schema.fields, T.StructField(kept, T.BinaryType()), T.StructField(removed, T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))]
-    return joined.mapInArrow(cut, T.StructType(fields))
+    pair = T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
+    return mapped(joined, cut, T.StructType([*documents.schema.fields, T.StructField(kept, T.BinaryType()), T.StructField(removed, T.ArrayType(pair))]))
 
 
 def cut_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, cap: int = 1024) -> DataFrame:
@@ -346,18 +352,18 @@ def cut_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A character that a cut leaves incomplete goes too.
     """
-    out = remove_repeats(documents, id_col, text_col, length, cap)
-    kept = out.columns[-2]
+    joined, _ = _with_spans(documents, id_col, text_col, length, cap)
     at = documents.columns.index(text_col)
 
     def put(batches):
         for b in batches:
-            new = [x.decode(errors="ignore") if given else None for x, given in zip(b.column(b.num_columns - 1).to_pylist(), b.column(at).is_valid().to_pylist())]
+            spans = map(merged, b.column(b.num_columns - 1).to_pylist())
+            new = [None if t is None else without(t, s).decode(errors="ignore") for t, s in zip(raw(b.column(at)), spans)]
             columns = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
     fields = [T.StructField(f.name, T.StringType()) if i == at else f for i, f in enumerate(documents.schema.fields)]
-    return out.select(*documents.columns, kept).mapInArrow(put, T.StructType(fields))
+    return mapped(joined, put, T.StructType(fields))
 
 
 def op9_suffix_array_dedup(spark, sf_dir):

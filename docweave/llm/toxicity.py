@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored
+from docweave.llm.common import mapped, stored
 from docweave.llm.labelled import fold, joined, labelled_sample
 
 ORDERS = (4, 5, 6)
@@ -114,7 +114,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id"
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[0, met]), pa.array(seen[1, met])], names=["code", "q", "p"])
 
     n0, n1 = sizes[0][0], sizes[1][0]
-    counts = sample.select("text", "y").mapInArrow(count, "code long, q long, p long").groupBy("code").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
+    counts = mapped(sample.select("text", "y"), count, "code long, q long, p long").groupBy("code").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
     ratio = F.log(((F.col("p") + 1) / (n1 + 2)) / ((F.col("q") + 1) / (n0 + 2)))
     z = F.abs(ratio) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
     top = counts.select("code", ratio.alias("r"), z.alias("z")).where((F.col("z") >= least_z) & (F.abs("r") >= least_ratio)).orderBy(F.desc("z"), "code").limit(keep).toPandas()
@@ -131,7 +131,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id"
             found = [feature[a:z].astype(np.int32).tobytes() for a, z in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["features", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(pick, "features binary, y int").toPandas().sort_values(["y", "features"])
+    rows = mapped(sample.select("text", "y"), pick, "features binary, y int").toPandas().sort_values(["y", "features"])
     sets = [np.frombuffer(x, np.int32) for x in rows.features]
     y = rows.y.to_numpy().astype(float)
     weight = np.where(y == 1, sizes[1][1] / n1, sizes[0][1] / n0)  # as many as there are of each label
@@ -161,7 +161,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(add, f"doc_id {kind}, score double")
+    out = mapped(docs, add, f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
