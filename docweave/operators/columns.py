@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.deploy import ship
 from docweave.errors import DecodeError, JsonError
 from docweave.functions import checks, edit, keeping, rawjson
 from docweave.functions.evaluate import evaluate
@@ -170,6 +171,7 @@ def jmes_exact(text: Column, expression: str, strict: bool = False, on_error: st
 
 def _exact(text: Column, function, on_error: str = "null") -> Column:
     """function, over Arrow batches of text. on_error: "null", "raise", or "column" for a struct of value and error."""
+    ship()
 
     def run(t):
         try:
@@ -241,6 +243,7 @@ def edited(text: Column, edits: edit.Edits, on_error: str = "keep") -> Column:
     """Documents after a list of edits, parsed once each. on_error: "keep" the document as it was, "null", "raise", or "column" for a struct of value
     (the document as it was, if a step fails) and error."""
     if on_error == "column":
+        ship()
 
         @F.pandas_udf("value string, error string")
         def both(batch: pd.Series) -> pd.DataFrame:
@@ -254,6 +257,7 @@ def edited(text: Column, edits: edit.Edits, on_error: str = "keep") -> Column:
 
 def merge_patched(text: Column, patch: Column) -> Column:
     """RFC 7396, each document with the patch of its row; NULL if either is."""
+    ship()
 
     @F.pandas_udf("string")
     def apply(docs: pd.Series, patches: pd.Series) -> pd.Series:
@@ -273,6 +277,7 @@ def merge_patched(text: Column, patch: Column) -> Column:
 
 def violation(text: Column, check) -> Column:
     """The error that check(text) raises, as text; NULL if it raises none. check: a function of functions.checks, bound to its arguments."""
+    ship()
 
     @F.pandas_udf("string")
     def apply(batch: pd.Series) -> pd.Series:

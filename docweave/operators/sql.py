@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from docweave.deploy import ship
 from docweave.errors import JsonError
 from docweave.functions import edit, keeping, rawjson
 from docweave.functions.evaluate import evaluate
@@ -54,6 +55,7 @@ def _three(batch):
 def register(spark: SparkSession) -> None:
     """Registers json_jmes(text, expression), json_find(text, path), json_keep(text, 'path,path'), json_merge_patch(text, patch),
     json_set(text, path, value), json_upsert(text, path, value) and json_delete(text, path)."""
+    ship(spark)
     two = {
         "json_jmes": lambda t, e: evaluate(_parse(e), t),
         "json_find": lambda t, p: rawjson.find(t, _path(p)),

@@ -75,10 +75,10 @@ def keep_arrays(spark, d):
     return made.select("id", C.array_len(F.col("every"), "lines").cast("long").alias("n"), C.find(F.col("one"), "lines.part", "bigint").alias("first"), C.find(F.col("last"), "lines.part", "bigint").alias("last"), C.array_len(F.col("cut"), "lines").cast("long").alias("two"))
 
 
-@query("keep_styles", "SELECT p_partkey AS id, '{' || chr(10) || '  \"id\": ' || p_partkey || ',' || chr(10) || '  \"meta\": {' || chr(10) || '    \"size\": ' || p_size || chr(10) || '  }' || chr(10) || '}' AS pretty, '{ \"id\" : ' || p_partkey || ' }' AS spaced, CAST(NULL AS VARCHAR) AS strict FROM part")
+@query("keep_styles", "SELECT p_partkey AS id, '{' || chr(10) || '  \"id\": ' || p_partkey || ',' || chr(10) || '  \"meta\": {' || chr(10) || '    \"size\": ' || p_size || chr(10) || '  }' || chr(10) || '}' AS pretty, '{  \"id\" :' || p_partkey || ' }' AS spaced, CAST(NULL AS VARCHAR) AS strict FROM part")
 def keep_styles(spark, d):
     docs, text = part_docs(spark, d), F.col("value")
-    spaced = F.concat(F.lit('{ "id" : '), F.col("key").cast("string"), F.lit(' , "drop": 2 }'))
+    spaced = F.concat(F.lit('{  "id" :'), F.col("key").cast("string"), F.lit(' ,"z" : 0 }'))
     return docs.select(F.col("key").alias("id"), C.keep(text, ["meta.size", "id"], style=2).alias("pretty"), C.keep(spaced, ["id"], style="preserve").alias("spaced"), C.keep(text, ["nothing"], strict=True).alias("strict"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.deploy import ship
+
 
 def lines(df: DataFrame, name: str = "value") -> DataFrame:
     """Lines as documents: one trailing carriage return goes, empty lines go, lines of white space stay."""
@@ -41,6 +43,7 @@ def written_bytes(df: DataFrame, doc: str = "value") -> DataFrame:
 
 def for_each_document(df: DataFrame, function, doc: str = "value") -> None:
     """Calls function(text) for every document, on the executors; its first error fails the job."""
+    ship(df.sparkSession)
 
     def run(rows):
         for r in rows:
