@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +22,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(list(limits)) & train)
     marks = marks.groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
-    parts = []
-    for y, limit in limits.items():
-        own = marks.where(F.col("y") == y)
-        parts.append(own.orderBy(F.xxhash64("i"), "i").limit(limit).crossJoin(F.broadcast(own.agg(F.count("*").alias("whole")))))
-    chosen = parts[0]
-    for more in parts[1:]:
-        chosen = chosen.union(more)
+    whole = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    parts = [marks.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(limit).withColumn("whole", F.lit(whole.get(y, 0)).cast("long")) for y, limit in limits.items()]
+    chosen = reduce(DataFrame.union, parts)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).drop("i")
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.deploy import ship
+
 _LONG = 2**63 - 1
 #: Beyond this, sums of products of integers are no longer exact in doubles.
 _EXACT = 2.0**53
@@ -131,6 +133,7 @@ def exact_top_k(
         u, q, c, s = zip(*found) if found else ((), (), (), ())
         return pa.table({"u": pa.array(u, pa.int64()), "query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.int64())})
 
+    ship(vectors.sparkSession)
     hits = cands.groupBy("r", "c").cogroup(queries.groupBy("r", "c")).applyInArrow(search, "u long, query_id long, vec_id long, score long")
     best = Window.partitionBy("u").orderBy(F.desc("score"), F.asc("vec_id"))
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
