@@ -115,11 +115,11 @@ def certified(n: int, rejected: list[int], alpha: float, level: float) -> int:
     return len(rejected)
 
 
-def fit_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str, id_col: str, label_col: str = "quality", alpha: float = 0.007, delta: float = 0.05) -> dict[str, dict[str, float]]:
+def fit_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str, id_col: str, label_col: str = "quality", alpha: float = 0.007, delta: float = 0.05, worth: float = 10.0) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule, from labelled documents: measures has id_col, stratum and the MEASURES.
 
-    Of the certified cutoffs the most lenient one is used that rejects as many bad documents, within one in a hundred, as the
-    strictest; a rule that rejects none is not used. Strata with too few good labels to certify anything get no cutoffs; so at most
+    Of the certified cutoffs only those count that reject bad documents at `worth` times the rate of good ones, or more; of these the most
+    lenient one is used that rejects as many bad documents, within one in a hundred, as any. Strata with too few good labels to certify anything get no cutoffs; so at most
     one stratum in every log(delta) / log(1 - alpha) labelled rows reaches the driver. Null labels are ignored; repeated labels
     of one id count as one, the smallest.
     """
@@ -139,11 +139,15 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str, id_col: st
     for s, rules in table.items():
         for k, (name, (_, cutoffs)) in enumerate(RULES.items()):
             good, bad = rules.get(k, ({}, {}))
-            above = lambda h: [sum(n for level, n in h.items() if level > c) for c in range(len(cutoffs))]
+            # a value over the c-th cutoff is over all stricter ones too
+            above = lambda h: [sum(n for level, n in h.items() if level >= len(cutoffs) - c) for c in range(len(cutoffs))]
             passed = certified(sum(good.values()), above(good), alpha, delta / (len(RULES) * len(table)))
-            caught = above(bad)[:passed]
-            if caught and caught[-1]:
-                out.setdefault(s, {})[name] = cutoffs[next(c for c, n in enumerate(caught) if 100 * n >= 99 * caught[-1])]
+            lost, caught = above(good)[:passed], above(bad)[:passed]
+            n_good, n_bad = sum(good.values()), sum(bad.values())
+            telling = [c for c in range(passed) if caught[c] * n_good >= worth * (lost[c] + 1) * n_bad]
+            if telling:
+                most = max(caught[c] for c in telling)
+                out.setdefault(s, {})[name] = cutoffs[next(c for c in telling if 100 * caught[c] >= 99 * most)]
     return out
 
 

@@ -5,7 +5,7 @@ from math import comb
 
 import pytest
 
-from docweave.llm.rules import MEASURES, binomial_tail, certified, keep_by_rules, measure, quality_rules
+from docweave.llm.rules import MEASURES, binomial_tail, certified, fit_cutoffs, keep_by_rules, measure, quality_rules, with_measures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,6 +79,23 @@ def test_query_matches_brute_force_and_rejects_bad(spark):
     assert kept.columns == df.columns and kept.count() == out.kept.sum()
 
 
+def test_cutoffs_follow_the_counts(spark):
+    """Bad documents have some signs; good ones now and then a few. The cutoff lies between."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(4000):
+        bad = rng.random() < 0.2
+        signs = 20 if bad else 3 if rng.random() < 0.003 else 0
+        rows.append((i, " ".join(rng.choice("lorem ipsum dolor sit amet elitr sed diam".split()) for _ in range(40)) + " " + "#" * signs, "en"))
+        labels.append((i, int(not bad)))
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    found = with_measures(df, "text", MEASURES, ["doc_id", "lang"])
+    cutoffs = fit_cutoffs(found, marks, "lang", "doc_id")
+    assert set(cutoffs) == {"en"} and 3 / 41 < cutoffs["en"]["symbols"] < 20 / 41
+    out = quality_rules(df, marks).toPandas().merge(marks.toPandas(), on="doc_id")
+    assert (out.kept == (out.quality == 1))[~out.base_failed].all()
+
+
 def test_without_labels_or_rows(spark):
     df, labels, _, _ = labelled(spark, 50)
     out = quality_rules(df, labels.limit(0)).toPandas()
