@@ -314,11 +314,11 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _with_spans(documents: DataFrame, id_col: str, text_col: str, length: int, cap: int) -> tuple[DataFrame, str]:
     """documents with the spans of their repeats, and the name of that column."""
     spans = repeated_spans(documents, id_col, text_col, length, cap)
-    removed, th, key = fresh(documents, "removed", "text_hash_", "key_")
+    removed, th, key, other = fresh(documents, "removed", "text_hash_", "key_", "other_hash_")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     left = documents.withColumn(th, F.xxhash64(text))
-    right = spans.select(F.col("doc_id").alias(key), F.col("th").alias(th + "r"), F.col("spans").alias(removed))
-    return left.join(right, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(th + "r")), "left").select(*documents.columns, removed), removed
+    right = spans.select(F.col("doc_id").alias(key), F.col("th").alias(other), F.col("spans").alias(removed))
+    return left.join(right, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(other)), "left").select(*documents.columns, removed), removed
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, cap: int = 1024) -> DataFrame:
