@@ -20,7 +20,7 @@ from docweave.plans import ast as A
 from docweave.plans.keep import keep_tree
 from docweave.plans.parser import parse
 from docweave.plans.paths import parse_path, parse_pointer
-from docweave.plans.variant import VariantCompiler, compile_variant, key_path, kind_name
+from docweave.plans.variant import VariantCompiler, compile_variant, is_number, key_path, kind_name
 
 
 def parsed(text: Column | str) -> Column:
@@ -63,13 +63,13 @@ def decoded(value: Column, kind: str) -> Column:
     whole = low in ("tinyint", "smallint", "int", "bigint", "byte", "short", "integer", "long")
     if whole:
         number = F.try_variant_get(value, "$", "double")
-        return F.when((kind_name(value) == "number") & (number == F.floor(number)), F.try_variant_get(value, "$", kind))
+        return F.when(is_number(value) & (number == F.floor(number)), F.try_variant_get(value, "$", kind))
     if low in ("float", "double") or low.startswith("decimal"):
-        return F.when(kind_name(value) == "number", F.try_variant_get(value, "$", kind))
+        return F.when(is_number(value), F.try_variant_get(value, "$", kind))
     if low == "string":
-        return F.when(kind_name(value) == "string", F.try_variant_get(value, "$", "string")).otherwise(F.when(~F.is_variant_null(value), F.to_json(value)))
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.when(~F.is_variant_null(value), F.to_json(value)))
     if low == "boolean":
-        return F.when(kind_name(value) == "boolean", F.try_variant_get(value, "$", "boolean"))
+        return F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
     return F.try_variant_get(value, "$", kind)
 
 

@@ -41,10 +41,6 @@ def bind(col: Column, make) -> Column:
     return F.get(F.transform(F.array(col), make), F.lit(0))
 
 
-def is_array(col: Column) -> Column:
-    return F.schema_of_variant(col).startswith("ARRAY<")
-
-
 def kind_name(col: Column) -> Column:
     """object, array, string, boolean, null or number; NULL for a missing value."""
     kind = F.schema_of_variant(col)
@@ -52,6 +48,11 @@ def kind_name(col: Column) -> Column:
     return named.when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").when(kind.isNotNull(), "number")
 
 
+def is_number(col: Column) -> Column:
+    kind = F.schema_of_variant(col)
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
 class VariantCompiler:
     """on_error: what a function does with a value of the wrong kind: "null" or "raise"."""
 
@@ -100,7 +101,7 @@ class VariantCompiler:
             return x.col
         if x.kind != "v":
             return F.lit(None).cast("double")
-        return F.when(kind_name(x.col) == "number", F.try_variant_get(x.col, "$", "double"))
+        return F.when(is_number(x.col), F.try_variant_get(x.col, "$", "double"))
 
     def string(self, x: Val) -> Column:
         """As a string; NULL unless it is one."""
