@@ -16,9 +16,20 @@ from docweave.plans.keep import keep_tree
 from docweave.plans.parser import parse
 from docweave.plans.paths import parse_path
 
-_parse = lru_cache(1024)(parse)
-_path = lru_cache(1024)(parse_path)
-_tree = lru_cache(1024)(lambda paths: keep_tree([p for p in paths.split(",") if p]))
+
+@lru_cache(1024)
+def _parse(text: str):
+    return parse(text)
+
+
+@lru_cache(1024)
+def _path(text: str):
+    return parse_path(text)
+
+
+@lru_cache(1024)
+def _tree(paths: str):
+    return keep_tree([p for p in paths.split(",") if p])
 
 
 def _column(function):

@@ -60,7 +60,7 @@ _of("fn_to_number", "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS number, C
 _of("fn_text_tests", "SELECT p_partkey AS id, starts_with(p_name, 'red') AS starts, ends_with(p_name, 'ring') AS ends, contains(p_name, 'l w') AS has, list_contains(string_split(p_name, ' '), 'red') AS holds FROM part", part_docs, ("starts", "starts_with(title, 'red')", "boolean"), ("ends", "ends_with(title, 'ring')", "boolean"), ("has", "contains(title, 'l w')", "boolean"), ("holds", "contains(tags, 'red')", "boolean"))
 _of("fn_not_null", "SELECT event_id AS id, CASE WHEN event_id % 7 > 1 THEN value ELSE CAST(event_id AS DOUBLE) END AS amount FROM events", event_docs, ("amount", "not_null(value, nothing, id)", "double"))
 _of("fn_reverse", "SELECT p_partkey AS id, reverse(p_name) AS text, string_split(p_name, ' ')[-1] AS last FROM part", part_docs, ("text", "reverse(title)", "string"), ("last", "reverse(tags)[0]", "string"))
-_of("fn_sort", G + ", min(l_partkey) AS least, (SELECT list_sort(string_split(p_name, ' '))[1] FROM part ORDER BY p_partkey LIMIT 1) AS word FROM lines GROUP BY l_orderkey", lambda spark, d: order_docs(spark, d), ("least", "sort(lines[*].part)[0]", "bigint"), ("word", "sort(`[\"small\", \"ring\"]`)[0]", "string"))
+_of("fn_sort", G + ", min(l_partkey) AS least, 'ring' AS word FROM lines GROUP BY l_orderkey", order_docs, ("least", "sort(lines[*].part)[0]", "bigint"), ("word", "sort(`[\"small\", \"ring\"]`)[0]", "string"))
 _of("fn_join", "SELECT p_partkey AS id, replace(p_name, ' ', '-') AS text FROM part", part_docs, ("text", "join('-', tags)", "string"))
 _of("fn_extremes", G + ", max(l_partkey) AS most, min(l_partkey) AS least, max(l_returnflag) AS flag, CAST(NULL AS DOUBLE) AS none FROM lines GROUP BY l_orderkey", order_docs, ("most", "max(lines[*].part)", "bigint"), ("least", "min(lines[*].part)", "bigint"), ("flag", "max(lines[*].flag)", "string"), ("none", "max(`[]`)", "double"))
 _of("fn_sum_avg", G + ", CAST(sum(l_quantity) AS DOUBLE) AS total, CAST(sum(l_quantity) AS DOUBLE) / count(*) AS mean, CAST(0 AS DOUBLE) AS zero, CAST(NULL AS DOUBLE) AS none FROM lines GROUP BY l_orderkey", order_docs, ("total", "sum(lines[*].qty)", "double"), ("mean", "avg(lines[*].qty)", "double"), ("zero", "sum(`[]`)", "double"), ("none", "avg(`[]`)", "double"))
