@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.llm.common import mapped
 
@@ -153,20 +154,24 @@ def rendered(role: str, content: str) -> str:
     return f"<|{role}|>\n{content}\n<|end|>\n"
 
 
-def format_chats(parts: DataFrame, id_col: str, order_col: Column | str, text_col: str, model: ChatModel | None = None, stretch: int = 5000) -> DataFrame:
-    """id, turn, role, content, rendered: the turns of each transcript, numbered from 0.
+def format_chats(parts: DataFrame, id_col: str, order_col: str, text_col: str, model: ChatModel | None = None, most_lines: int = 5000, per_stretch: int = 1000) -> DataFrame:
+    """id, stretch, turn, role, content, rendered: the turns of each transcript.
 
-    A transcript is the texts of its id in order, each beginning a new line; one row an id is the plain case. Rows are dealt out by id
-    and streamed in order, so no transcript is held whole: after `stretch` lines it is parsed up to its last marked line and goes on
-    from there, keeping its numbering.
+    A transcript is the texts of its id in order, each beginning a new line; one row an id is the plain case. Where the order is a whole
+    number, a transcript is parsed in stretches of per_stretch orders, so that a very long one is dealt out over tasks; stretch is order
+    / per_stretch (0 for any other order), and turns are numbered from 0 within it. Rows are streamed in order and no stretch is
+    held whole: after most_lines lines it is parsed up to its last marked line and goes on from there, keeping its numbering.
 
-    Defined cases: null texts are empty lines; blank transcripts give no turns. Null ids are one transcript. Repeated rows repeat their
-    lines; rows of equal order come in the order of their texts. An empty table gives no rows. Other columns are ignored.
+    Defined cases: null texts are empty lines; blank transcripts give no turns. Null ids are one transcript, null orders come first, in
+    stretch 0. Repeated rows repeat their lines; rows of equal order come in the order of their texts. An empty table gives no rows. Other
+    columns are ignored.
     """
     model = model or ChatModel.default()
     kind = parts.schema[id_col].dataType.simpleString()
-    rows = parts.select(F.col(id_col).alias("id"), (F.col(order_col) if isinstance(order_col, str) else order_col).alias("o"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    names = ["turn", "role", "content", "rendered"]
+    stretch = F.coalesce(F.floor(F.col(order_col) / per_stretch), F.lit(0)) if isinstance(parts.schema[order_col].dataType, T.IntegralType) else F.lit(0)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = parts.select(F.col(id_col).alias("id"), stretch.cast("long").alias("stretch"), F.col(order_col).alias("o"), text.alias("t"))
+    names = ["id", "stretch", "turn", "role", "content", "rendered"]
 
     def run(batches):
         held: list[str] = []
@@ -177,36 +182,35 @@ def format_chats(parts: DataFrame, id_col: str, order_col: Column | str, text_co
             if any(x.strip() for x in lines):
                 for role, content in model.parse(lines):
                     if content:
-                        out.append((current[0], turn, role, content, rendered(role, content)))
+                        out.append((*current, turn, role, content, rendered(role, content)))
                         turn += 1
 
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if current is None or current[0] != i:
+            id_type = b.schema.field(0).type
+            for *key, text in zip(*(b.column(c).to_pylist() for c in ("id", "stretch", "t"))):
+                if current != key:
                     if current is not None:
                         flush(held)
-                    current, turn, held = (i,), 0, []
+                    current, turn, held = key, 0, []
                 held += text.split("\n")
-                while len(held) >= stretch:
+                while len(held) >= most_lines:
                     cut = next((k for k in range(len(held) - 1, 0, -1) if marker(held[k])[0] >= 0), len(held))
                     flush(held[:cut])
                     held = held[cut:]
             if out:
-                yield batch(out, b.schema.field(0).type)
+                yield batch(out, id_type)
                 out.clear()
-            last = b.schema.field(0).type
         if current is not None:
             flush(held)
         if out:
-            yield batch(out, last)
+            yield batch(out, id_type)
 
     def batch(out, id_type):
-        i, *rest = zip(*out)
-        types = (pa.int32(), pa.string(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(i, id_type), *(pa.array(x, t) for x, t in zip(rest, types))], names=["id", *names])
+        types = (id_type, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
 
-    dealt = rows.repartition("id").sortWithinPartitions("id", "o", "t")
-    return mapped(dealt, run, f"id {kind}, turn int, role string, content string, rendered string")
+    dealt = rows.repartition("id", "stretch").sortWithinPartitions("id", "stretch", "o", "t")
+    return mapped(dealt, run, f"id {kind}, stretch long, turn int, role string, content string, rendered string")
 
 
 #: How the query writes the speaker of a turn, by conversation.

@@ -60,10 +60,17 @@ def test_roles_and_texts_come_back(spark):
     out = format_chats(transcripts(df), "conv_id", "turn", "text").collect()
     assert sorted((r["id"], r["turn"], r["role"], r["content"]) for r in out) == sorted(rows)
     assert all(r["rendered"] == rendered(r["role"], r["content"]) for r in out)
-    again = format_chats(transcripts(df), "conv_id", "turn", "text", stretch=4).collect()
+    again = format_chats(transcripts(df), "conv_id", "turn", "text", most_lines=4).collect()
     assert sorted((r["id"], r["turn"], r["content"]) for r in again) == sorted((r["id"], r["turn"], r["content"]) for r in out)
 
 
+def test_long_transcripts_are_dealt_out_in_stretches(spark):
+    rows = [(1, t, f"{'User' if t % 2 else 'Bot'}: text {t}") for t in range(50)] + [(2, None, "User: first"), (2, 3, "Bot: then")]
+    df = spark.createDataFrame(rows, "id long, turn long, text string")
+    out = sorted((r["id"], r["stretch"], r["turn"], r["content"]) for r in format_chats(df, "id", "turn", "text", per_stretch=20).collect())
+    assert out == [(1, t // 20, t % 20, f"text {t}") for t in range(50)] + [(2, 0, 0, "first"), (2, 0, 1, "then")]
+
+
 def test_fit_follows_the_counts():
     model = ChatModel.fit([[("user", "Q: a"), ("user", "Q: b")]] * 500)
     assert np.exp(model.move[2, 2]) > 0.99 and np.allclose(np.exp(model.move).sum(axis=1), 1)
