@@ -193,7 +193,8 @@ def best_fit_pack(
 
     A document's ids are those of the vocabulary and then end_id. Only a document of more than capacity ids is cut, into
     pieces of capacity ids; its first piece holds what is over. Sequences are filled by best fit decreasing.
-    vocabulary and ranks are tokenizer files that every executor can open.
+    vocabulary and ranks are tokenizer files that every executor can open. Pieces are numbered in `buckets` buckets of each length, or as many
+    as keep them near 100,000 pieces.
 
     Defined cases: a null or empty text is one piece that holds end_id alone. Null ids and repeated rows are packed like any
     other. An empty table gives no rows. Other columns are ignored.
@@ -202,6 +203,7 @@ def best_fit_pack(
         vocabulary, ranks = default_vocabulary()
     pieces = stored(tokenised(documents, id_col, text_col, vocabulary, ranks, end_id, capacity, keep_ids), "pieces")
     # numbers within each length: counts of (length, bucket), prefix sums over buckets, and a number within the bucket
+    buckets = max(buckets, pieces.count() // 100_000)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
