@@ -40,7 +40,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of stored tables that nothing will read any more."""
+    for t in tables:
+        if hasattr(t, "_stored_at"):
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def mapped(df: DataFrame, function, schema) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import fresh, mapped, raw, stored
+from docweave.llm.common import discard, fresh, mapped, raw, stored
 from docweave.llm.suffix_array import suffix_array
 
 GRAM = 40
@@ -247,6 +247,7 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
     anchors = runs.groupBy("g").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("z")).where("n > 1")
     anchors = stored(anchors.select("g", F.expr("a = z").alias("alike")), "anchors")  # apart, so that the join of a hot anchor can be split
     shared = stored(runs.join(anchors, "g"), "shared-runs")
+    discard(runs, anchors)
     window = lambda df: df.select("doc_id", "th", F.expr("at - high").alias("s"), F.expr(f"at - low + {length}").alias("e"))
     spans = [window(shared.where("alike"))]
 
