@@ -372,10 +372,14 @@ class VariantCompiler:
         """numbers(items, array of (key, position)), for doubles or strings as keys."""
         def pick(items):
             keys = F.transform(items, lambda y: self.v(self.run(key, Val(y, "v"))))
-            doubles = F.transform(keys, lambda k, i: F.struct(self.number(Val(k, "v")).alias("k"), i.alias("i")))
-            texts = F.transform(keys, lambda k, i: F.struct(self.string(Val(k, "v")).alias("k"), i.alias("i")))
-            out = F.when(~F.exists(doubles, lambda p: p["k"].isNull()), numbers(items, doubles))
-            return out.when(~F.exists(texts, lambda p: p["k"].isNull()), numbers(items, texts)).otherwise(self.wrong(name, like))
+
+            def by(keys):
+                doubles = F.transform(keys, lambda k, i: F.struct(self.number(Val(k, "v")).alias("k"), i.alias("i")))
+                texts = F.transform(keys, lambda k, i: F.struct(self.string(Val(k, "v")).alias("k"), i.alias("i")))
+                out = F.when(~F.exists(keys, lambda k: self.number(Val(k, "v")).isNull()), numbers(items, doubles))
+                return out.when(~F.exists(keys, lambda k: self.string(Val(k, "v")).isNull()), numbers(items, texts)).otherwise(self.wrong(name, like))
+
+            return bind(keys, by)
 
         array = self.a(x)
         return F.when(array.isNotNull(), bind(array, pick))
@@ -386,9 +390,8 @@ class VariantCompiler:
 
     def fn_group_by(self, x, key):
         def groups(items):
-            keyed = F.transform(items, lambda y: F.coalesce(F.to_json(self.v(self.run(key, Val(y, "v")))), F.lit("null")))
-            made = F.transform(F.array_distinct(keyed), lambda k: F.to_variant_object(F.filter(items, lambda y, i: F.get(keyed, i) == k)))
-            return made
+            keyed = F.transform(items, lambda y: self.text(self.run(key, Val(y, "v"))))
+            return bind(keyed, lambda ks: F.transform(F.array_distinct(ks), lambda k: F.to_variant_object(F.filter(items, lambda y, i: F.get(ks, i) == k))))
 
         array = self.a(x)
         return Val(F.when(array.isNotNull(), bind(array, groups)).otherwise(self.wrong("group_by", "array<variant>")), "a")
