@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored
+from docweave.llm.common import discard, stored
 from docweave.llm.neighbours import keep_by_quality
 from docweave.llm.packing import best_fit_pack
 from docweave.llm.rules import keep_by_rules
@@ -62,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, before = stored(stage(spark, docs, sf_dir), name), docs
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import mapped, raw, stored
+from docweave.llm.common import discard, mapped, raw, stored
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -194,6 +194,7 @@ def keep_by_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
     """
     found = stored(_measured(documents, id_col, text_col, stratum_col), "measures")
     cutoffs = fit_cutoffs(found, labels.select(F.col(id_col).alias("doc_id"), "quality"), "stratum", "doc_id", alpha=alpha, delta=delta)
+    discard(found)
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
     # the row travels as one struct, so that no column of it can clash with a measure
     rows = documents.select(F.struct(*documents.columns).alias("row"), stratum.alias("stratum"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import fresh, mapped, raw, stored
+from docweave.llm.common import discard, fresh, mapped, raw, stored
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -111,7 +111,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "components")
+        edges, old = stored(small.distinct(), "components"), edges
+        discard(old)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

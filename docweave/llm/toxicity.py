@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import mapped, stored
+from docweave.llm.common import discard, mapped, stored
 from docweave.llm.labelled import fold, joined, labelled_sample
 
 ORDERS = (4, 5, 6)
@@ -132,6 +132,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["features", "y"])
 
     rows = mapped(sample.select("text", "y"), pick, "features binary, y int").toPandas().sort_values(["y", "features"])
+    discard(sample)
     sets = [np.frombuffer(x, np.int32) for x in rows.features]
     y = rows.y.to_numpy().astype(float)
     weight = np.where(y == 1, sizes[1][1] / n1, sizes[0][1] / n0)  # as many as there are of each label
