@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,6 +235,14 @@ def _cut(batches, length, width):
         yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c).take(taken) for c in b.schema.names], names=b.schema.names)
 
 
+def _repeated(rows: DataFrame, salts: int = 16) -> DataFrame:
+    """The rows whose g and f other rows have too. Each pair's rows are dealt out by a salt, so that no task gets all of a frequent one."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "at", "low"), F.lit(salts)))
+    sizes = rows.groupBy("g", "f", "salt").agg(F.count("*").alias("own"))
+    sizes = sizes.withColumn("all", F.sum("own").over(Window.partitionBy("g", "f")))  # at most a row for each salt
+    return rows.join(sizes.where(F.col("all") > 1).select("g", "f", "salt"), ["g", "f", "salt"], "left_semi")
+
+
 def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int = 200, cap: int = 1024) -> DataFrame:
     """doc_id, th, spans: for each text with repeated windows the bytes that they cover, as unsorted [s, e) pairs.
 
@@ -254,7 +262,7 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
     mixed = shared.where("NOT alike")
     one = F.struct("doc_id", "th", "at", "low", "high")
     distinct = stored(mixed.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(one).alias("r")), "distinct-runs")
-    spans.append(window(mixed.join(distinct.where("n > 1").select("g", "f"), ["g", "f"], "left_semi")))
+    spans.append(window(_repeated(mixed)))
     crowds = distinct.groupBy("g").agg(F.count("*").alias("crowd"))
     needed = distinct.join(crowds.where("crowd > 1"), "g").select("r.doc_id", "r.th", F.struct("g", "f", "n", "crowd", "r.at", "r.low", "r.high").alias("w"))
     needed = needed.groupBy("doc_id", "th").agg(F.collect_list("w").alias("w"))  # at most one in 80 bytes of the text
@@ -280,8 +288,8 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
             break
         width = -(-width // 4)
         cut = stored(mapped(crowded.drop("crowd"), lambda b, w=width: _cut(b, length, w), row_ddl.replace("crowd long, ", "")), "cut-runs")
-        alike = cut.groupBy("g", "f").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-        spans.append(window(cut.join(alike.where("rows > 1").select("g", "f"), ["g", "f"], "left_semi")))
+        alike = cut.select("g", "f").distinct()
+        spans.append(window(_repeated(cut)))
         crowds = alike.groupBy("g").agg(F.count("*").alias("crowd")).where("crowd > 1")
         each = F.struct("doc_id", "th", "at", "low", "high", "covered")
         members = cut.groupBy("g", "f").agg(F.sum("n").alias("n"), F.min(each).alias("r")).join(crowds, "g")
