@@ -14,6 +14,17 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
+def lowest(df: DataFrame, key: Column, tie: str, limit: int, total: int) -> DataFrame:
+    """At most limit of df's total rows, those with the smallest hash of key, of equal ones those with the smaller tie column.
+
+    All but about twice as many are left out where they are read, so that no task returns more than its share.
+    """
+    space = 1 << 30
+    rows = df.withColumn("_hash", F.pmod(F.xxhash64(key), F.lit(space)))
+    share = min(space, space * (2 * limit + 100) // max(total, 1))
+    return rows.where(F.col("_hash") < share).orderBy("_hash", tie).limit(limit).drop("_hash")
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, limits: dict[int, int]) -> DataFrame:
     """doc_id, text, y, whole: labelled documents, at most limits[y] ids of each label y, chosen by a hash of the id.
 
@@ -23,7 +34,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(list(limits)) & train)
     marks = marks.groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
     whole = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row for each label
-    parts = [marks.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(limit).withColumn("whole", F.lit(whole.get(y, 0)).cast("long")) for y, limit in limits.items()]
+    parts = [lowest(marks.where(F.col("y") == y), F.col("i"), "i", limit, whole.get(y, 0)).withColumn("whole", F.lit(whole.get(y, 0)).cast("long")) for y, limit in limits.items()]
     chosen = reduce(DataFrame.union, parts)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).drop("i")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import mapped, raw
+from docweave.llm.labelled import lowest
 
 #: Names and characteristic sentences of public licenses.
 NAMES: dict[str, list[str]] = {
@@ -244,9 +245,9 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, rounds: int,
 
 def background_paragraphs(documents: DataFrame, id_col: str, text_col: str, limit: int) -> list[bytes]:
     """First lines of `limit` texts, chosen by a hash of id and text, that have no license cue."""
-    text = F.substring_index(F.col(text_col).cast("string"), "\n", 1)
-    chosen = documents.select(F.substring(text, 1, 400).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("length(t) > 0")
-    rows = chosen.orderBy("h", "t").limit(limit).collect()
+    text = F.substring(F.substring_index(F.col(text_col).cast("string"), "\n", 1), 1, 400)
+    lines = documents.select(text.alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k")).where("length(t) > 0")
+    rows = lowest(lines, F.col("k"), "t", limit, documents.count()).select("t").collect()
     return [t for t in (r["t"].encode() for r in rows) if not CUES.search(t)]
 
 
