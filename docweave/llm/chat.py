@@ -8,17 +8,18 @@ within a turn.
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from docweave.llm.common import mapped
+from docweave.llm.common import discard, mapped, stored
 
 ROLES = ("system", "user", "assistant")
 #: Names that speakers of each role go by in transcripts.
@@ -58,6 +59,26 @@ def observed(line: str, after_blank: bool) -> tuple[int, ...]:
 _WIDTHS = (4, 3, 2, 3, 2, 2)
 
 
+#: Log probabilities are counted in whole numbers of 1 / UNIT.
+UNIT = 1 << 30
+CODES = 4 * 2 * 3 * 2 * 2 * 2
+
+
+def code(line: str) -> int:
+    """What is seen of a line by itself, as one number; odd for blank lines."""
+    role, after, asks, size, instructs, listed = observed(line, False)
+    return ((((role * 2 + asks) * 3 + size) * 2 + instructs) * 2 + listed) * 2 + (after == 2)
+
+
+def _features(c: int, after_blank: int) -> tuple[int, ...]:
+    """What observed() gives for a line of this code."""
+    c, blank = divmod(c, 2)
+    c, listed = divmod(c, 2)
+    c, instructs = divmod(c, 2)
+    c, size = divmod(c, 3)
+    return (c // 2, 2 if blank else after_blank, c % 2, size, instructs, listed)
+
+
 @dataclass
 class ChatModel:
     """States 2 r (first line of a turn of role r) and 2 r + 1 (a later line), as log probabilities."""
@@ -114,40 +135,84 @@ class ChatModel:
         rows = lambda m: m / m.sum(axis=-1, keepdims=True)
         return cls._logs(rows(first), rows(move), [rows(e) for e in emit])
 
+    def whole(self) -> tuple[list[int], list[list[int]], list[list[list[int]]]]:
+        """start, move by the state moved to, and emit by after_blank and code, as whole numbers: their sums do not hang on where a transcript is divided."""
+        fixed = lambda x: np.rint(np.asarray(x) * UNIT).astype(np.int64).tolist()
+        emit = [[sum(e[:, v] for e, v in zip(self.emit, _features(c, b))) for c in range(CODES)] for b in (0, 1)]
+        return fixed(self.start), fixed(self.move.T), fixed(emit)
+
     def viterbi(self, lines: list[str]) -> list[int]:
         """The most probable states; of equal paths the one whose states come first."""
-        score, back, after_blank = None, [], False
-        move, emit = self.move.T.tolist(), [e.T.tolist() for e in self.emit]
+        found = Decoder(self)
         for line in lines:
-            own = [math.fsum(parts) for parts in zip(*(e[v] for e, v in zip(emit, observed(line, after_blank))))]
-            if score is None:
-                score = [a + b for a, b in zip(self.start.tolist(), own)]
-            else:
-                best = [max(zip([s + m for s, m in zip(score, into)], (0, -1, -2, -3, -4, -5))) for into in move]
-                back.append([-i for _, i in best])
-                score = [b + o for (b, _), o in zip(best, own)]
-            after_blank = not line.strip()
-        if score is None:
-            return []
-        path = [max(range(6), key=lambda s: (score[s], -s))]
-        for step in reversed(back):
-            path.append(step[path[-1]])
-        return path[::-1]
+            found.step(code(line))
+        return found.settled(found.best()) if lines else []
 
     def parse(self, lines: list[str]) -> list[tuple[str, str]]:
         """(role, content) of each turn. Markers that name the turn's role go, as do end-of-turn signs and blank lines around it."""
-        turns: list[tuple[int, list[str]]] = []
-        for line, state in zip(lines, self.viterbi(lines)):
+        turns = Turns(False)
+        ended = [turns.add(line, state) for line, state in zip(lines, self.viterbi(lines))] + [(turns.role, turns.own) if lines else None]
+        return [(ROLES[t[0]], content_of(t[1])) for t in ended if t]
+
+
+class Decoder:
+    """Viterbi, a line at a time: from the start of a transcript, or from the scores that its states have before the next line."""
+
+    def __init__(self, model: ChatModel, score: list[int] | None = None, after_blank: bool = False):
+        self.start, self.move, self.emit = model.whole()
+        self.score, self.after_blank, self.back = score, after_blank, []
+
+    def begin(self, score: list[int] | None = None, after_blank: bool = False) -> None:
+        self.score, self.after_blank, self.back = score, after_blank, []
+
+    def step(self, c: int) -> list[int]:
+        """Takes a line by its code; returns the state before it on the best path to each state."""
+        own = self.emit[self.after_blank][c]
+        if self.score is None:
+            came, self.score = [0, 1, 2, 3, 4, 5], [a + b for a, b in zip(self.start, own)]
+        else:
+            best = [max(zip([s + m for s, m in zip(self.score, into)], (0, -1, -2, -3, -4, -5))) for into in self.move]
+            came, self.score = [-i for _, i in best], [b + o for (b, _), o in zip(best, own)]
+        self.after_blank = bool(c & 1)
+        self.back.append(came)
+        return came
+
+    def best(self) -> int:
+        return max(range(6), key=lambda s: (self.score[s], -s))
+
+    def settled(self, last: int | None = None) -> list[int]:
+        """The states of the lines not yet given out: of all, where the last line's state is known, or else of those on which the best paths to all six states agree."""
+        tips, k = [*range(6)] if last is None else [last], len(self.back) - 1
+        while k >= 0 and len(set(tips)) > 1:
+            tips, k = [self.back[k][t] for t in tips], k - 1
+        path, state = [], tips[0]
+        for came in reversed(self.back[: k + 1]):
+            path.append(state)
+            state = came[state]
+        del self.back[: k + 1]
+        return path[::-1]
+
+
+def content_of(lines: list[str]) -> str:
+    return _ENDING.sub("", "\n".join(lines).strip("\n")).strip()
+
+
+class Turns:
+    """Lines and their states gathered to turns: (role, or -1 where the turn began before, its lines)."""
+
+    def __init__(self, inside: bool):
+        self.role, self.own, self.inside = -1, [], inside
+
+    def add(self, line: str, state: int):
+        """The turn that ends before this line, if any."""
+        ended = None
+        if state % 2 == 0 or not self.inside:
+            ended = (self.role, self.own) if self.own else None
             role, at = marker(line)
-            if state % 2 == 0 or not turns:
-                turns.append((state // 2, [line[at:] if role == state // 2 else line]))
-            else:
-                turns[-1][1].append(line)
-        out = []
-        for role, own in turns:
-            content = _ENDING.sub("", "\n".join(own).strip("\n")).strip()
-            out.append((ROLES[role], content))
-        return out
+            self.role, self.own, self.inside = state // 2, [line[at:] if role == state // 2 else line], True
+        else:
+            self.own.append(line)
+        return ended
 
 
 def rendered(role: str, content: str) -> str:
@@ -155,62 +220,196 @@ def rendered(role: str, content: str) -> str:
 
 
 def format_chats(parts: DataFrame, id_col: str, order_col: str, text_col: str, model: ChatModel | None = None, most_lines: int = 5000, per_stretch: int = 1000) -> DataFrame:
-    """id, stretch, turn, role, content, rendered: the turns of each transcript.
+    """id, stretch, turn, role, content, rendered, place: the turns of each transcript.
 
-    A transcript is the texts of its id in order, each beginning a new line; one row an id is the plain case. Where the order is a whole
-    number, a transcript is parsed in stretches of per_stretch orders, so that a very long one is dealt out over tasks; stretch is order
-    / per_stretch (0 for any other order), and turns are numbered from 0 within it. Rows are streamed in order and no stretch is
-    held whole: after most_lines lines it is parsed up to its last marked line and goes on from there, keeping its numbering.
+    A transcript is the texts of its id in order, each beginning a new line; one row an id is the plain case. place numbers its turns from
+    0. A transcript of more than per_stretch rows is dealt out over tasks in stretches of so many rows; stretch is that in which a turn
+    begins, and turn numbers its turns from 0. The states are those of one Viterbi over the whole transcript, wherever it is divided.
+    Rows are streamed in order: after most_lines lines those are given out on whose states all best paths agree.
 
-    Defined cases: null texts are empty lines; blank transcripts give no turns. Null ids are one transcript, null orders come first, in
-    stretch 0. Repeated rows repeat their lines; rows of equal order come in the order of their texts. An empty table gives no rows. Other
+    Defined cases: null texts are empty lines; blank transcripts give no turns. Null ids are one transcript, null orders come first.
+    Repeated rows repeat their lines; rows of equal order come in the order of their texts. An empty table gives no rows. Other
     columns are ignored.
     """
     model = model or ChatModel.default()
     kind = parts.schema[id_col].dataType.simpleString()
-    stretch = F.coalesce(F.floor(F.col(order_col) / per_stretch), F.lit(0)) if isinstance(parts.schema[order_col].dataType, T.IntegralType) else F.lit(0)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = parts.select(F.col(id_col).alias("id"), stretch.cast("long").alias("stretch"), F.col(order_col).alias("o"), text.alias("t"))
-    names = ["id", "stretch", "turn", "role", "content", "rendered"]
+    rows = parts.select(F.col(id_col).alias("id"), F.col(order_col).alias("o"), text.alias("t"))
+    long = stored(rows.groupBy(F.col("id").alias("i")).agg(F.count("*").alias("n")).where(F.col("n") > per_stretch).select("i"), "long")
+    same = F.col("id").eqNullSafe(F.col("i"))
+    short = rows.join(long, same, "left_anti").repartition("id").sortWithinPartitions("id", "o", "t")
+    out = _turns(short.select("id", F.lit(0).cast("long").alias("stretch"), "t", *_whole()), model, most_lines, kind)
+    out = out.withColumn("place", F.col("j"))
+    if not long.isEmpty():
+        out = out.unionByName(_long_turns(rows.join(long, same, "left_semi"), model, most_lines, per_stretch, kind))
+    turn = (F.row_number().over(Window.partitionBy("id", "stretch").orderBy("place")) - 1).cast("int")
+    said = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("\n<|end|>\n"))
+    return out.select("id", "stretch", turn.alias("turn"), "role", "content", said.alias("rendered"), "place")
 
-    def run(batches):
-        held: list[str] = []
-        current, turn, out = None, 0, []
 
-        def flush(lines):
-            nonlocal turn
-            if any(x.strip() for x in lines):
-                for role, content in model.parse(lines):
-                    if content:
-                        out.append((*current, turn, role, content, rendered(role, content)))
-                        turn += 1
+def _whole():
+    """The columns that tell how a stretch is entered and left, for stretches that are whole transcripts."""
+    return [F.lit(None).cast("array<long>").alias("score"), F.lit(False).alias("after_blank"), F.lit(None).cast("int").alias("exit")]
 
-        for b in batches:
-            id_type = b.schema.field(0).type
-            for *key, text in zip(*(b.column(c).to_pylist() for c in ("id", "stretch", "t"))):
-                if current != key:
-                    if current is not None:
-                        flush(held)
-                    current, turn, held = key, 0, []
-                held += text.split("\n")
-                while len(held) >= most_lines:
-                    cut = next((k for k in range(len(held) - 1, 0, -1) if marker(held[k])[0] >= 0), len(held))
-                    flush(held[:cut])
-                    held = held[cut:]
-            if out:
-                yield batch(out, id_type)
-                out.clear()
-        if current is not None:
-            flush(held)
+
+def _grouped(rows: DataFrame, function, schema: str, *keys: str) -> DataFrame:
+    """function(key, an iterator of rows) for each run of rows with equal keys (rows are sorted); it yields tuples."""
+
+    def run(batches):
+        def each():
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        out = []
+        for key, own in itertools.groupby(each(), lambda r: r[: len(keys)]):
+            for x in function(key, own):
+                out.append(x)
+                if len(out) >= 2000:
+                    yield batch(out)
+                    out = []
         if out:
-            yield batch(out, id_type)
+            yield batch(out)
+
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
-    def batch(out, id_type):
-        types = (id_type, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return mapped(rows, run, schema)
+
+
+def _turns(rows: DataFrame, model: ChatModel, most_lines: int, kind: str, whole: bool = True) -> DataFrame:
+    """id, stretch, j, role, content: the turns of each stretch; rows have id, stretch, t and what _whole() names.
+
+    Where stretches are not whole transcripts content is as it stands, open turns come with a null content or role, and empty ones too.
+    """
+
+    decoder = Decoder(model)
+
+    def turns_of(key, own):
+        turns, held, j = None, [], 0
+
+        def piece(turn):
+            nonlocal j
+            role, lines = turn
+            content = content_of(lines) if whole else "\n".join(lines)
+            if content or not whole:
+                yield (*key, j, ROLES[role] if role >= 0 else None, content)
+                j += 1
+
+        limit = most_lines
+        for _, _, text, score, after_blank, leave in own:
+            if turns is None:
+                turns, last = Turns(score is not None), leave
+                decoder.begin(score, after_blank)
+            for line in text.split("\n"):
+                held.append(line)
+                decoder.step(code(line))
+                if len(held) >= limit:
+                    states = decoder.settled()
+                    for x, state in zip(held, states):
+                        if ended := turns.add(x, state):
+                            yield from piece(ended)
+                    del held[: len(states)]
+                    limit = max(most_lines, 2 * len(held))
+        for x, state in zip(held, decoder.settled(decoder.best() if last is None else last)):
+            if ended := turns.add(x, state):
+                yield from piece(ended)
+        yield from piece((turns.role, turns.own))
+
+    return _grouped(rows, turns_of, f"id {kind}, stretch long, j long, role string, content string", "id", "stretch")
+
+
+def _long_turns(rows: DataFrame, model: ChatModel, most_lines: int, per_stretch: int, kind: str) -> DataFrame:
+    """id, stretch, j, role, content, place of the turns of transcripts in several stretches.
+
+    Rows are sorted as a whole, which gives each its rank. Of each stretch, the best scores from any state to any other are found by
+    themselves; put together along a transcript they give the scores with which each stretch is entered. With these, each stretch tells from
+    which state each of its last states comes, which gives, from the transcript's end, the state in which each stretch ends.
+    """
+    ordered = rows.repartitionByRange("id", "o", "t").sortWithinPartitions("id", "o", "t").select("id", F.spark_partition_id().alias("p"), "t")
+
+    def numbered(key, own):
+        for k, (i, p, t) in enumerate(own):
+            yield i, p, k, t, np.array([code(x) for x in t.split("\n")], np.uint8).tobytes()
+
+    placed = stored(_grouped(ordered, numbered, f"id {kind}, p int, k long, t string, codes binary", "id"), "placed")
+    before = F.sum("n").over(Window.partitionBy("i").orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
+    shift = placed.groupBy(F.col("id").alias("i"), F.col("p").alias("q")).agg(F.count("*").alias("n")).withColumn("before", before).where("before > 0")
+    # at most one row for each partition: only its first transcript began before it
+    ranked = placed.join(F.broadcast(shift), F.col("id").eqNullSafe(F.col("i")) & (F.col("p") == F.col("q")), "left")
+    ranked = ranked.withColumn("rank", F.col("k") + F.coalesce("before", F.lit(0)))
+    ranked = ranked.withColumn("stretch", F.floor(F.col("rank") / per_stretch).cast("long"))
+    dealt = lambda x, *cols: x.repartition("id", "stretch").sortWithinPartitions("id", "stretch", "rank").select("id", "stretch", *cols)
+    join = lambda a, b: a.join(b.withColumnsRenamed({"id": "i2", "stretch": "s2"}), F.col("id").eqNullSafe(F.col("i2")) & (F.col("stretch") == F.col("s2"))).drop("i2", "s2")
+    decoder = Decoder(model)
+    start, emit, move = decoder.start, decoder.emit, np.array(decoder.move)
+
+    def transfer(key, own):
+        """The first line's own scores after a line and after a blank one, and the best scores from its states to the last line's."""
+        best, blank = None, False
+        for *_, codes in own:
+            for c in codes:
+                if best is None:
+                    first, best = c, np.where(np.eye(6, dtype=bool), 0, -(1 << 60))
+                else:
+                    best = (best[:, None, :] + move).max(axis=2) + np.array(emit[blank][c])
+                blank = bool(c & 1)
+        yield (*key, emit[0][first], emit[1][first], best.ravel().tolist(), blank)
+
+    def entered(key, own):
+        score, after_blank = None, False
+        for i, stretch, plain, after, best, blank in own:
+            yield i, stretch, score, after_blank
+            first = start if score is None else [max(s + m for s, m in zip(score, into)) for into in decoder.move]
+            first = [a + b for a, b in zip(first, after if after_blank else plain)]
+            score = [max(first[a] + best[6 * a + b] for a in range(6)) for b in range(6)]
+            top = max(score)
+            score, after_blank = [s - top for s in score], blank
+
+    def traced(key, own):
+        came = [*range(6)]
+        for n, (_, _, codes, score, after_blank) in enumerate(own):
+            if n == 0:
+                decoder.begin(score, after_blank)
+            for c in codes:
+                came = [came[b] for b in decoder.step(c)]
+                decoder.back.clear()
+        yield (*key, came, decoder.best())
+
+    def left(key, own):
+        state = None
+        for i, stretch, came, best in own:
+            state = best if state is None else state
+            yield i, stretch, state
+            state = came[state]
+
+    along = lambda x, down=False: x.repartition("id").sortWithinPartitions("id", F.desc("stretch") if down else "stretch")
+    head = f"id {kind}, stretch long, "
+    parts = _grouped(dealt(ranked, "codes"), transfer, head + "plain array<long>, after array<long>, best array<long>, blank boolean", "id", "stretch")
+    entries = stored(_grouped(along(parts), entered, head + "score array<long>, after_blank boolean", "id"), "entries")
+    traces = _grouped(dealt(join(ranked, entries), "codes", "score", "after_blank"), traced, head + "came array<int>, best int", "id", "stretch")
+    exits = stored(_grouped(along(traces, True), left, head + "exit int", "id"), "exits")
+    pieces = stored(_turns(dealt(join(join(ranked, entries), exits), "t", "score", "after_blank", "exit"), model, most_lines, kind, whole=False), "pieces")
+    # a piece without a role goes on with the last turn that began in a stretch before it
+    heads = pieces.groupBy("id", "stretch").agg(F.max(F.when(F.col("role").isNotNull(), F.col("j"))).alias("last"))
+    w = Window.partitionBy("id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.last(F.when(F.col("last").isNotNull(), F.struct(F.col("stretch").alias("stretch"), F.col("last").alias("j"))), ignorenulls=True)
+    heads = heads.select("id", "stretch", begun.over(w).alias("from"), "last")
+    own = join(pieces, heads).withColumn("at", F.when(F.col("role").isNull(), F.col("from")).otherwise(F.struct("stretch", "j")))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "content"))), lambda x: x["content"]), "\n")
+    turns = own.groupBy("id", "at").agg(F.max("role").alias("role"), texts.alias("content"))
+
+    def cleaned(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([content_of([x]) for x in b.column(b.num_columns - 1).to_pylist()], pa.string())], names=b.schema.names)
 
-    dealt = rows.repartition("id", "stretch").sortWithinPartitions("id", "stretch", "o", "t")
-    return mapped(dealt, run, f"id {kind}, stretch long, turn int, role string, content string, rendered string")
+    turns = turns.select("id", F.col("at.stretch").alias("stretch"), F.col("at.j").alias("j"), "role", "content")
+    turns = stored(mapped(turns, cleaned, head + "j long, role string, content string").where("content != ''"), "turns")
+    sums = turns.groupBy("id", "stretch").agg(F.count("*").alias("n")).select("id", "stretch", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("earlier"))
+    discard(placed, entries, exits, pieces)
+    within = F.row_number().over(Window.partitionBy("id", "stretch").orderBy("j")) - 1
+    return join(turns, sums).withColumn("place", (F.col("earlier") + within).cast("long")).drop("earlier")
 
 
 #: How the query writes the speaker of a turn, by conversation.
@@ -235,4 +434,5 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 def op1_chat_formatting(spark, sf_dir):
     raw = transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return format_chats(raw, "conv_id", "turn", "text").withColumnRenamed("id", "conv_id")
+    turns = format_chats(raw, "conv_id", "turn", "text")
+    return turns.select(F.col("id").alias("conv_id"), "stretch", F.col("place").alias("turn"), "role", "content", "rendered")

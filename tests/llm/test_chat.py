@@ -82,3 +82,18 @@ def test_odd_rows(spark):
     out = {(r["id"], r["turn"], r["role"], r["content"]) for r in format_chats(df, "id", "turn", "text").collect()}
     assert out == {(1, 0, "user", "a"), (1, 1, "user", "a"), (None, 0, "assistant", "b"), (4, 0, "user", "no marker at all")}
     assert format_chats(df.limit(0), "id", "turn", "text").count() == 0
+
+
+def test_stretches_and_streams_give_the_states_of_the_whole(spark):
+    """Unmarked, blank and quoted lines at and over the edges, orders with wide gaps: as one Viterbi over the transcript."""
+    rng, model = random.Random(7), ChatModel.default()
+    texts = ["User: where?", "Bot: there", "so it goes on", "and on", "", "- listed\n- twice", "You are kind", "what?", "x" * 300, "  ", "System: be short\n", "he said\nQ: quoted\nlast"]
+    rows = [(c, 1_700_000_000 + 5000 * t, rng.choice(texts[2:10] if c == 3 or t % 20 > 15 else texts)) for c in range(6) for t in range(130)]
+    df = spark.createDataFrame(rows, "id long, turn long, text string")
+    want = []
+    for c in range(6):
+        turns = [x for x in model.parse("\n".join(t for i, _, t in rows if i == c).split("\n")) if x[1]]
+        want += [(c, k, *x) for k, x in enumerate(turns)]
+    for stretch, most in ((7, 5000), (20, 3), (1000, 4)):
+        out = format_chats(df, "id", "turn", "text", most_lines=most, per_stretch=stretch).collect()
+        assert sorted((r["id"], r["place"], r["role"], r["content"]) for r in out) == want
