@@ -127,6 +127,7 @@ class LicenseModel:
     least: float
     pairs: list[list[frozenset[bytes]]]  # word pairs of each family's templates
     cues: frozenset[bytes]
+    longest: int  # words of the longest template
 
     @classmethod
     def fit(cls, background: list[bytes], seed: int = 5, rounds: int = 150, false_rate: float = 0.001) -> LicenseModel:
@@ -149,7 +150,7 @@ class LicenseModel:
         for t in background:
             common |= set(words_of(t))
         cues = frozenset(w for w in vocabulary if b" " not in w and w not in common) | {b"license", b"licensed", b"copyright", b"rights", b"mit", b"public"}
-        model = cls(families, vocabulary, np.zeros((none + 1, len(vocabulary) + 1)), 1.0, 0.5, [[frozenset(_pairs(words_of(t.encode()))) for t in known[f]] for f in families], cues)
+        model = cls(families, vocabulary, np.zeros((none + 1, len(vocabulary) + 1)), 1.0, 0.5, [[frozenset(_pairs(words_of(t.encode()))) for t in known[f]] for f in families], cues, max(len(words_of(t.encode())) for f in families for t in known[f]))
         x = np.stack([model.describe(words_of(t)) for t, _ in rows]).astype(np.float32)
         y = np.array([k for _, k in rows])
         held = np.arange(len(rows)) % 5 == 0
@@ -179,10 +180,15 @@ class LicenseModel:
         The similarity is the share of the shorter one's word pairs that both have; `covered` is the least share of the paragraph's own
         pairs that the family's templates must explain.
         """
-        words = words_of(paragraph)
+        return self.judge(words_of(paragraph), confirm, covered)
+
+    def judge(self, words: list[bytes], confirm: float = 0.6, covered: float = 0.0) -> tuple[str, float, float] | None:
+        """classify() for a paragraph's words."""
         if self.cues.isdisjoint(words):
             return None
-        p = np.exp(_log_softmax((self.describe(words) @ self.weights.T)[None] / self.temperature))[0]
+        known = sorted({self.vocabulary[g] for g in grams(words) if g in self.vocabulary})  # as describe(), without the zeros
+        logits = self.weights[:, known].sum(axis=1) / max(1.0, np.sqrt(len(known))) + self.weights[:, -1]
+        p = np.exp(_log_softmax(logits[None] / self.temperature))[0]
         best = int(p.argmax())
         if best == len(self.families) or p[best] < self.least:
             return None
@@ -194,32 +200,73 @@ class LicenseModel:
     def scan(self, text: bytes | None) -> list[tuple[int, int, str, float, float]]:
         """(start, end, family, probability, similarity) of the license paragraphs, in bytes.
 
-        A paragraph is a block between blank lines; if it is none as a whole, each of its lines is tried.
+        A paragraph is a block between blank lines; if it is none as a whole, each of its lines is tried, and of a line that is none, or is
+        longer than any template, each run of sentences up to the length of the longest template.
         """
         out = []
         for block in re.finditer(rb"(?:[^\n]*\S[^\n]*(?:\n|$))+", text or b""):
             lines = [(m.start(), m.end()) for m in re.finditer(rb"[^\n]+", block[0])]
             # of a block that merely holds a notice, the line is reported
             whole = self.classify(block[0], covered=0.6 if len(lines) > 1 else 0.0) if len(block[0]) < 20_000 else None
-            if whole is not None:
+            if whole is not None and len(lines) > 1:
                 out.append((block.start(), block.end(), *whole))
                 continue
-            for s, e in lines if len(lines) > 1 or len(block[0]) >= 20_000 else ():
-                for a, z in _sentences(block[0], s, e):
-                    found = self.classify(block[0][a:z])
-                    if found is not None:
-                        out.append((block.start() + a, block.start() + z, *found))
-        return out
-
-
-def _sentences(text: bytes, start: int, end: int):
-    """A line as one piece; lines too long to be a notice in pieces of some sentences."""
-    if end - start < 20_000:
-        yield start, end
-        return
-    edges = [start, *(start + m.end() for m in re.finditer(rb"[.!?] ", text[start:end])), end]
-    for k in range(0, len(edges) - 1, 4):
-        yield edges[k], edges[min(k + 4, len(edges) - 1)]
+            for s, e in lines:
+                line = block[0][s:e]
+                found = whole if len(lines) == 1 else self.classify(line) if len(line) < 20_000 else None
+                if found is not None:
+                    s, e = (0, len(block[0])) if len(lines) == 1 else (s, e)
+                    out.append((block.start() + s, block.start() + e, *found))
+                within = self.within(line, found is not None)
+                out += [(block.start() + s + a, block.start() + s + z, *x) for a, z, *x in within if found is None or x[0] != found[0]]
+        return sorted(out, key=lambda x: x[:2])
+
+    def within(self, line: bytes, known: bool = False) -> list[tuple[int, int, str, float, float]]:
+        """The notices among a line's sentences; none of a line that is known to be one and no longer than a template.
+
+        Every notice no longer than the longest template lies in one of the runs, wherever it begins. Of runs that overlap, the one
+        closest to a template counts, of equal ones the shortest; neighbours of one family are put together.
+        """
+        low = line.lower()
+        words = [(m.start(), m[0]) for m in _WORD.finditer(low)]
+        if self.cues.isdisjoint(w for _, w in words) or known and len(words) <= self.longest:
+            return []
+        edges, at = [0], 0
+        for end in [*(m.end() for m in re.finditer(rb"[.!?] ", low)), len(low)]:
+            first = at
+            while at < len(words) and words[at][0] < end:
+                at += 1
+                if at - first > self.longest:  # a sentence without an end
+                    edges.append(at - 1)
+                    first = at - 1
+            if at > edges[-1]:
+                edges.append(at)
+        if len(edges) == 2 and len(line) < 20_000:
+            return []  # the line itself
+        starts = [*(p for p, _ in words), len(line)]
+        only = [w for _, w in words]
+        cued = np.cumsum([0, *(w in self.cues for w in only)])
+        hits = []
+        for k in range(len(edges) - 1):
+            for n in range(k + 1, len(edges)):
+                a, z = edges[k], edges[n]
+                if cued[z] > cued[a] and (found := self.judge(only[a:z])):
+                    hits.append((a, z, *found))
+                if z - edges[k + 1] >= self.longest:
+                    break
+        taken: list[tuple] = []
+        free = np.ones(len(words), dtype=bool)
+        for hit in sorted(hits, key=lambda x: (-x[4], x[1] - x[0], -x[3], x[0])):
+            if free[hit[0] : hit[1]].all():
+                free[hit[0] : hit[1]] = False
+                taken.append(hit)
+        out: list[tuple] = []
+        for a, z, family, p, alike in sorted(taken):
+            if out and out[-1][1] == a and out[-1][2] == family:
+                out[-1] = (out[-1][0], z, family, max(p, out[-1][3]), max(alike, out[-1][4]))
+            else:
+                out.append((a, z, family, p, alike))
+        return [(starts[a], starts[z - 1] + len(only[z - 1]), *x) for a, z, *x in out]
 
 
 def _pairs(words: list[bytes]) -> list[bytes]:

@@ -65,3 +65,25 @@ def test_frames(spark):
         out.setdefault(r["doc_id"], []).append([f["family"] for f in r["findings"]])
     assert out == {1: [["MIT"], ["MIT"]], 2: [[]], 3: [[]], None: [["CC-BY-NC"]], 4: [["Apache-2.0"]]}
     assert license_findings(df.limit(0)).count() == 0 and UNKNOWN not in templates()
+
+
+@pytest.mark.parametrize("size", [1_000, 19_000, 30_000])
+def test_notices_within_a_long_line(model, size):
+    """Templates of each family that are recognised by themselves, slid through prose of one line past every sentence of a few."""
+    rng = random.Random(size)
+    for family, texts in templates().items():
+        for t in [x for x in texts if (model.classify(x.encode()) or [None])[0] == family][:: 5 if size == 1_000 else 25]:
+            for before in range(4):
+                head = " ".join(prose(rng, 12) for _ in range(before + size // 140))
+                text = f"{head} {t.rstrip('.')}. {' '.join(prose(rng, 12) for _ in range(size // 140))}".encode()
+                at = len(head.encode()) + 1
+                found = {f for s, e, f, _, _ in model.scan(text) if s < at + len(t.encode()) and e > at}
+                assert family in found, (family, t, before, found)
+
+
+def test_long_prose_has_no_notices(model):
+    rng = random.Random(4)
+    assert [f for _ in range(20) for f in model.scan(" ".join(prose(rng, rng.randrange(3, 40)) for _ in range(80)).encode())] == []
+    assert model.scan(b"the river ran past " * 3000) == []
+    one = b"the river ran past " * 1500 + templates()["MIT"][-2].encode() + b" and a mill" * 900
+    assert [f for _, _, f, _, _ in model.scan(one)] == ["MIT"]
