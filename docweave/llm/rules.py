@@ -1,6 +1,6 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Each rule compares one measure of a text with a cutoff. Cutoffs are chosen per stratum (language) on labelled documents: the hypothesis "this
+Each rule compares one measure of a text with a cutoff. Cutoffs are chosen per stratum (language; those with few labels are one) on labelled documents: the hypothesis "this
 cutoff rejects more than alpha of the good documents" is tested exactly (binomial tail, the test that inverts the Clopper-Pearson
 bound) from the most lenient cutoff on, and a chain of tests ends at the first cutoff that can't be certified. Testing in a
 fixed order needs no correction within a chain; across chains (strata times rules) the level is divided by their number. So
@@ -119,8 +119,9 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str, id_col: st
     """Cutoffs by stratum and rule, from labelled documents: measures has id_col, stratum and the MEASURES.
 
     Of the certified cutoffs only those count that reject bad documents at `worth` times the rate of good ones, or more; of these the most
-    lenient one is used that rejects as many bad documents, within one in a hundred, as any. Strata with too few good labels to certify anything get no cutoffs; so at most
-    one stratum in every log(delta) / log(1 - alpha) labelled rows reaches the driver. Null labels are ignored; repeated labels
+    lenient one is used that rejects as many bad documents, within one in a hundred, as any. Strata with too few good labels to certify
+    anything are one common stratum, with chains of its own, whose guarantee is for their good documents together; strata without a good
+    label get no cutoffs. Of the small strata only the names reach the driver. Null labels are ignored; repeated labels
     of one id count as one, the smallest.
     """
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).alias("y"))
@@ -130,11 +131,17 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str, id_col: st
         levels.append(F.expr(f"CAST(size(filter(array({', '.join(f'{float(c)}D' for c in cutoffs)}), c -> CAST({value} AS DOUBLE) > c)) AS INT)"))
     known = known.where("NOT " + BASE_FAILED).select(F.col(stratum).alias("s"), "y", F.posexplode(F.array(*levels)).alias("rule", "level"))
     counts = known.groupBy("s", "y", "rule", "level").agg(F.count("*").alias("n"))
-    enough = counts.where("y = 1 AND rule = 0").groupBy("s").agg(F.sum("n").alias("good")).where(F.col("good") >= math.log(delta / len(RULES)) / math.log1p(-alpha))
-    table: dict[str, dict] = {}
-    for r in counts.join(enough, "s").collect():
+    sums = counts.where("y = 1 AND rule = 0").groupBy("s").agg(F.sum("n").alias("good"))
+    least = math.log(delta / len(RULES)) / math.log1p(-alpha)
+    enough = sums.where(F.col("good") >= least)
+    few = sums.where(F.col("good") < least)
+    pooled = counts.join(few, "s").groupBy(F.lit(None).cast("string").alias("s"), "y", "rule", "level").agg(F.sum("n").alias("n"))
+    table: dict[str | None, dict] = {}
+    for r in counts.join(enough, "s").select("s", "y", "rule", "level", "n").union(pooled).collect():
         good, bad = table.setdefault(r["s"], {}).setdefault(r["rule"], ({}, {}))
         (good if r["y"] == 1 else bad)[r["level"]] = r["n"]
+    if sum(table.get(None, {}).get(0, ({}, {}))[0].values()) < least:
+        table.pop(None, None)  # nothing to certify: no chain to be counted
     out: dict[str, dict[str, float]] = {}
     for s, rules in table.items():
         for k, (name, (_, cutoffs)) in enumerate(RULES.items()):
@@ -148,7 +155,8 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str, id_col: st
             if telling:
                 most = max(caught[c] for c in telling)
                 out.setdefault(s, {})[name] = cutoffs[next(c for c in telling if 100 * caught[c] >= 99 * most)]
-    return out
+    shared = out.pop(None, None)
+    return out | {r["s"]: shared for r in few.collect()} if shared else out
 
 
 BASE_FAILED = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
@@ -157,11 +165,14 @@ BASE_FAILED = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
 def verdict(cutoffs: dict[str, dict[str, float]], stratum: str):
     """A column: true if no rule of the row's stratum rejects it."""
     failed = F.lit(False)
+    alike: dict[tuple, list[str]] = {}
     for s, rules in sorted(cutoffs.items()):
+        alike.setdefault(tuple(rules.items()), []).append(s)
+    for rules, strata in alike.items():
         own = F.lit(False)
-        for name, cutoff in rules.items():
+        for name, cutoff in rules:
             own = own | F.expr(f"CAST({RULES[name][0]} AS DOUBLE) > {float(cutoff)}D")
-        failed = failed | ((F.col(stratum) == F.lit(s)) & own)
+        failed = failed | (F.col(stratum).isin(strata) & own)
     return ~failed
 
 

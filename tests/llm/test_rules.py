@@ -101,3 +101,21 @@ def test_without_labels_or_rows(spark):
     out = quality_rules(df, labels.limit(0)).toPandas()
     assert (out.kept == ~out.base_failed).all()
     assert quality_rules(df.limit(0), labels).count() == 0 and keep_by_rules(df.limit(0), labels).count() == 0
+
+
+def test_small_strata_share_cutoffs(spark):
+    """Three languages of some 400 good labels each: too few for one, enough together. One without labels is left alone."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 5 == 0
+        rows.append((i, " ".join(rng.choice("lorem ipsum dolor sit amet elitr sed diam".split()) for _ in range(40)) + " " + "#" * 20 * bad, ("de", "fr", "es")[i % 3]))
+        labels.append((i, int(not bad)))
+    rows += [(-1 - i, rows[0][1], "xx") for i in range(5)]
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    cutoffs = fit_cutoffs(with_measures(df, "text", MEASURES, ["doc_id", "lang"]), marks, "lang", "doc_id")
+    assert set(cutoffs) == {"de", "fr", "es"} and cutoffs["de"] == cutoffs["fr"] == cutoffs["es"] and "symbols" in cutoffs["de"]
+    out = quality_rules(df, marks).toPandas()
+    assert (out.kept[out.doc_id >= 0] == (out.doc_id[out.doc_id >= 0] % 5 != 0))[~out.base_failed].all()
+    assert out.kept[(out.doc_id < 0) & ~out.base_failed].all()
+    assert set(fit_cutoffs(with_measures(df.limit(600), "text", MEASURES, ["doc_id", "lang"]), marks, "lang", "doc_id")) == set()
