@@ -5,7 +5,7 @@ from math import comb
 
 import pytest
 
-from docweave.llm.rules import MEASURES, binomial_tail, certified, fit_cutoffs, keep_by_rules, measure, quality_rules, with_measures
+from docweave.llm.rules import MEASURES, RULES, binomial_tail, certified, chosen, fit_cutoffs, keep_by_rules, measure, quality_rules, with_measures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,7 +36,7 @@ def test_measures_match_brute_force():
         assert measure(None if t is None else t.encode())[:5] == slow(t)
 
 
-@pytest.mark.parametrize("n, x, p", [(10, 0, 0.1), (50, 3, 0.02), (200, 200, 0.5), (1000, 12, 0.01)])
+@pytest.mark.parametrize("n, x, p", [(10, 0, 0.1), (50, 3, 0.02), (200, 200, 0.5), (1000, 12, 0.01), (500, 0, 0.007), (900, 300, 0.3), (2000, 3, 0.01), (60, 59, 0.9)])
 def test_tail_is_exact(n, x, p):
     assert binomial_tail(n, x, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(x + 1)), rel=1e-9)
 
@@ -119,3 +119,59 @@ def test_small_strata_share_cutoffs(spark):
     assert (out.kept[out.doc_id >= 0] == (out.doc_id[out.doc_id >= 0] % 5 != 0))[~out.base_failed].all()
     assert out.kept[(out.doc_id < 0) & ~out.base_failed].all()
     assert set(fit_cutoffs(with_measures(df.limit(600), "text", MEASURES, ["doc_id", "lang"]), marks, "lang", "doc_id")) == set()
+
+
+def test_copies_are_no_trials(spark):
+    """Repeating rows, or texts under new ids, leaves the cutoffs as they were; 500 texts certify nothing however often they come."""
+    rng = random.Random(8)
+
+    def rows(n, bad_share):
+        return [(i, " ".join(rng.choice("lorem ipsum dolor sit amet elitr sed diam".split()) for _ in range(40)) + " #" * (15 * (rng.random() < bad_share)), "en") for i in range(n)]
+
+    schema = "doc_id long, text string, lang string"
+    for n in (500, 2500):
+        own = rows(n, 0.2)
+        marks = spark.createDataFrame([(i, int("#" not in t)) for i, t, _ in own], "doc_id long, quality int")
+        many = [(i + 10**6 * k, t, s) for k in range(6) for i, t, s in own]
+        many_marks = spark.createDataFrame([(i, int("#" not in t)) for i, t, _ in many] * 2, "doc_id long, quality int")
+        plain = quality_rules(spark.createDataFrame(own, schema), marks)
+        again = quality_rules(spark.createDataFrame(own * 5, schema), marks)
+        copied = quality_rules(spark.createDataFrame(many, schema), many_marks)
+        truth = {r["doc_id"]: r["kept"] for r in plain.collect()}
+        assert all(truth.values()) == (n == 500)
+        assert all(truth[r["doc_id"]] == r["kept"] for r in again.collect())
+        assert all(truth[r["doc_id"] % 10**6] == r["kept"] for r in copied.collect())
+
+
+def test_all_rules_together_reject_at_most_alpha():
+    """Good texts that go over each cutoff at a rate of its own, independently by rule: what the chosen cutoffs reject together is over alpha in at most about delta of the trials."""
+    rng = random.Random(10)
+    alpha, delta, n, wrong = 0.049, 0.05, 3000, 0
+    for _ in range(60):
+        rates, counts = {}, {}
+        for k, (_, cutoffs) in enumerate(RULES.values()):
+            steps = sorted(rng.random() * 0.02 for _ in cutoffs)  # share over the c-th cutoff, from lenient to strict
+            rates[k] = steps
+            good: dict[int, int] = {}
+            for _ in range(n):
+                u = rng.random()
+                over = sum(u < s for s in steps)
+                good[over] = good.get(over, 0) + 1
+            counts[k] = (good, {len(cutoffs): 1000})
+        found = chosen(counts, alpha / len(RULES), delta / len(RULES), 1.0)
+        stay = 1.0
+        for k, (name, (_, cutoffs)) in enumerate(RULES.items()):
+            if name in found:
+                stay *= 1 - rates[k][cutoffs.index(found[name])]
+        wrong += 1 - stay > alpha
+    assert wrong <= 0.05 * 60 + 4
+
+
+def test_long_texts_and_clashing_names(spark):
+    text = "alpha beta gamma. " * 60_000 + "\n" + " ".join(f"w{i}" for i in range(50_000))
+    names = [*MEASURES, "cutoffs", "stratum", "passed", "row", "text_hash", "cutoffs_", "stratum_of_cutoffs"]
+    df = spark.createDataFrame([(1, text, None, *range(len(names))), (2, " ".join(f"w{i}" for i in range(300_000)), None, *range(len(names)))], "doc_id long, text string, lang string, " + ", ".join(f"`{n.upper()}` int" for n in names))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted((r["doc_id"], r["n_words"], r["base_failed"]) for r in quality_rules(df, labels).collect()) == [(1, 230_000, True), (2, 300_000, False)]
+    kept = keep_by_rules(df, labels)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [2]
