@@ -45,3 +45,14 @@ class UnknownField(JsonError):
 
 class LimitExceeded(JsonError):
     kind = "LimitExceeded"
+
+
+#: What a function of JSON text may raise for a row: its own errors, and those of documents too deep or of strings that are no Unicode.
+ROW_ERRORS = (JsonError, RecursionError, UnicodeError)
+
+
+def described(error: Exception) -> str:
+    """The text of a row's error."""
+    if isinstance(error, JsonError):
+        return f"{error.kind}: {error}"
+    return f"{LimitExceeded.kind}: nested too deep" if isinstance(error, RecursionError) else f"{DecodeError.kind}: a lone surrogate"

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import json
 
-from docweave.errors import DecodeError, IndexOutOfBounds, InvalidPath, InvalidSyntax, JsonError, PathNotFound, TypeMismatch
+from docweave.errors import ROW_ERRORS, DecodeError, IndexOutOfBounds, InvalidPath, InvalidSyntax, PathNotFound, TypeMismatch, described
 from docweave.functions import rawjson as J
+from docweave.functions.evaluate import shallow
 from docweave.plans.paths import parse_path, path_text
 
 
@@ -163,6 +164,7 @@ def merge_shallow(text: str, steps, patch: str) -> str:
 def merge_patch(text: str, steps, patch: str) -> str:
     """RFC 7396 at a path: null deletes, objects merge, anything else replaces."""
     start, end = J.find_span(text, steps)
+    shallow(patch)
     return text[:start] + _patched(text[start:end], patch.strip()) + text[end:]
 
 
@@ -255,5 +257,5 @@ class Edits:
         """The edited text and no error, or the text as it was and the error: a failing list changes nothing."""
         try:
             return self.apply(text), None
-        except JsonError as e:
-            return text, f"{e.kind}: {e}"
+        except ROW_ERRORS as e:
+            return text, described(e)

@@ -10,7 +10,7 @@ import json
 import re
 from json.encoder import encode_basestring as quoted
 
-from docweave.errors import IndexOutOfBounds, InvalidSyntax, PathNotFound, TypeMismatch
+from docweave.errors import DecodeError, IndexOutOfBounds, InvalidSyntax, PathNotFound, TypeMismatch
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
@@ -171,6 +171,18 @@ def compacted(text: str) -> str:
     return re.sub(r'("(?:[^"\\]|\\.)*")|[ \t\n\r]+', lambda m: m[1] or "", text, flags=re.DOTALL)
 
 
+def indented(text: str, indent: int) -> str:
+    """A whole document, indented."""
+    try:
+        out = json.dumps(json.loads(text), ensure_ascii=False, indent=indent)
+        out.encode()
+        return out
+    except UnicodeEncodeError:
+        raise DecodeError("a lone surrogate") from None
+    except ValueError as e:
+        raise DecodeError(str(e)) from None
+
+
 def depth_of(text: str) -> int:
     """How many containers the deepest value lies in: 1 for {"a":1} and [[]], 3 for [[[1]]], 0 for a scalar or an empty container."""
     depth = deepest = 0

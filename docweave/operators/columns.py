@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docweave.deploy import ship
-from docweave.errors import DecodeError, JsonError
+from docweave.errors import ROW_ERRORS, described
 from docweave.functions import checks, edit, keeping, rawjson
 from docweave.functions.evaluate import evaluate
 from docweave.plans import ast as A
@@ -176,10 +176,10 @@ def _exact(text: Column, function, on_error: str = "null") -> Column:
     def run(t):
         try:
             return (function(t), None) if t is not None else (None, None)
-        except JsonError as e:
+        except ROW_ERRORS as e:
             if on_error == "raise":
                 raise
-            return None, f"{e.kind}: {e}"
+            return None, described(e)
 
     if on_error == "column":
 
@@ -205,16 +205,8 @@ def keep(text: Column, paths: list[str], style: str | int = keeping.COMPACT, str
 
 
 def pretty(text: Column, indent: int = 2) -> Column:
-    """Whole documents, indented."""
-    import json
-
-    def run(t):
-        try:
-            return json.dumps(json.loads(t), ensure_ascii=False, indent=indent)
-        except ValueError as e:
-            raise DecodeError(str(e)) from None
-
-    return _exact(text, run)
+    """Whole documents, indented; NULL for what is no JSON, nests too deep or holds a lone surrogate."""
+    return _exact(text, lambda t: rawjson.indented(t, indent))
 
 
 def projected_len(projected: Column) -> Column:
@@ -264,7 +256,7 @@ def merge_patched(text: Column, patch: Column) -> Column:
         def run(t, p):
             try:
                 return None if t is None or p is None else edit.merge_patch(t, (), p)
-            except JsonError:
+            except ROW_ERRORS:
                 return None
 
         return pd.Series([run(t, p) for t, p in zip(docs, patches)], dtype=object)
@@ -286,8 +278,8 @@ def violation(text: Column, check) -> Column:
                 return None
             try:
                 check(t)
-            except JsonError as e:
-                return f"{e.kind}: {e}"
+            except ROW_ERRORS as e:
+                return described(e)
             return None
 
         return pd.Series([run(t) for t in batch], dtype=object)

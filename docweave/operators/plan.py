@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 
-from docweave.functions import keeping
+from docweave.functions import keeping, rawjson
 from docweave.functions.evaluate import evaluate
 from docweave.operators.columns import _exact
 from docweave.plans import ast as A
@@ -54,7 +53,7 @@ class Plan:
         if isinstance(self.select, Keep):
             return keeping.kept(self.select, text, self.strict, self.style)
         out = evaluate(self.select, text, self.strict)
-        return json.dumps(json.loads(out), ensure_ascii=False, indent=self.style) if isinstance(self.style, int) else out
+        return rawjson.indented(out, self.style) if isinstance(self.style, int) else out
 
     def apply(self, text: Column, on_error: str = "null") -> Column:
         return _exact(text, self.run, on_error)

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docweave.deploy import ship
-from docweave.errors import JsonError
+from docweave.errors import ROW_ERRORS
 from docweave.functions import edit, keeping, rawjson
 from docweave.functions.evaluate import evaluate
 from docweave.plans.keep import keep_tree
@@ -39,7 +39,7 @@ def _column(function):
         def one(row):
             try:
                 return None if any(x is None for x in row) else function(*row)
-            except JsonError:
+            except ROW_ERRORS:
                 return None
 
         return pd.Series([one(row) for row in zip(*batches)], dtype=object)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 
 from docweave.errors import PathNotFound, TypeMismatch
@@ -38,7 +36,7 @@ def _drop(text: str, key: str) -> str:
 
 
 def _styled(text: str, style) -> str:
-    return json.dumps(json.loads(text), ensure_ascii=False, indent=style) if isinstance(style, int) else text
+    return rawjson.indented(text, style) if isinstance(style, int) else text
 
 
 class TransformPipeline:

@@ -360,8 +360,14 @@ class VariantCompiler:
     def fn_merge(self, *args):
         maps = [F.coalesce(F.try_variant_get(self.v(x), "$", "map<string,variant>"), F.expr("map()").cast("map<string,variant>")) for x in args]
         entries = F.flatten(F.array(*(F.map_entries(m) for m in maps)))
-        last = F.filter(entries, lambda en, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == en["key"]))
-        return Val(F.to_variant_object(F.map_from_entries(last)), "v")
+
+        def last(entries):
+            """Of entries in order of key and place, those that the next key differs from."""
+            order = F.array_sort(F.transform(entries, lambda en, i: F.struct(en["key"].alias("k"), i.alias("i"))))
+            kept = lambda order: F.filter(order, lambda o, n: ~(F.get(order, n + 1)["k"].eqNullSafe(o["k"])))
+            return F.map_from_entries(F.transform(bind(order, kept), lambda o: F.get(entries, o["i"])))
+
+        return Val(F.to_variant_object(bind(entries, last)), "v")
 
     def fn_map(self, key, x):
         array = self.a(x)
@@ -390,8 +396,19 @@ class VariantCompiler:
 
     def fn_group_by(self, x, key):
         def groups(items):
-            keyed = F.transform(items, lambda y: self.text(self.run(key, Val(y, "v"))))
-            return bind(keyed, lambda ks: F.transform(F.array_distinct(ks), lambda k: F.to_variant_object(F.filter(items, lambda y, i: F.get(ks, i) == k))))
+            """Elements in order of key and place, cut where the key changes; the cuts in order of their first elements."""
+            order = F.array_sort(F.transform(items, lambda y, i: F.struct(self.text(self.run(key, Val(y, "v"))).alias("k"), i.alias("i"))))
+
+            def cut(order):
+                starts = F.filter(F.transform(order, lambda o, n: n), lambda n: (n == 0) | (F.get(order, n)["k"] != F.get(order, n - 1)["k"]))
+
+                def parts(starts):
+                    ends = F.transform(starts, lambda n, i: F.struct(F.get(order, n)["i"].alias("first"), n.alias("n"), (F.coalesce(F.get(starts, i + 1), F.size(order)) - n).alias("size")))
+                    return F.transform(F.array_sort(ends), lambda p: F.to_variant_object(F.transform(F.slice(order, p["n"] + 1, p["size"]), lambda o: F.get(items, o["i"]))))
+
+                return bind(starts, parts)
+
+            return bind(order, cut)
 
         array = self.a(x)
         return Val(F.when(array.isNotNull(), bind(array, groups)).otherwise(self.wrong("group_by", "array<variant>")), "a")
