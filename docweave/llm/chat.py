@@ -89,7 +89,7 @@ class ChatModel:
 
     @classmethod
     def default(cls) -> ChatModel:
-        """The production parameters, as probabilities stated by hand."""
+        """Probabilities stated by hand: the prior of fitted models, and the model where nothing is labelled."""
         first = [0.35, 0.0, 0.5, 0.0, 0.15, 0.0]
         move = np.zeros((6, 6))
         follows = [[0.02, 0.9, 0.08], [0.01, 0.09, 0.9], [0.01, 0.93, 0.06]]  # role after role
@@ -118,20 +118,25 @@ class ChatModel:
     @classmethod
     def fit(cls, transcripts: list[list[tuple[str, str]]], weight: float = 1.0) -> ChatModel:
         """From transcripts of (role, turn text with its marker): relative frequencies, with the default as prior of this weight."""
+        return cls.fit_codes([[(role, bytes(map(code, text.split("\n")))) for role, text in turns] for turns in transcripts], weight)
+
+    @classmethod
+    def fit_codes(cls, transcripts: list[list[tuple[str, bytes]]], weight: float = 1.0) -> ChatModel:
+        """fit, for transcripts of (role, codes of the turn's lines)."""
         base = cls.default()
         first, move, emit = weight * np.exp(base.start), weight * np.exp(base.move), [weight * np.exp(e) for e in base.emit]
         for turns in transcripts:
             before, after_blank = None, False
-            for role, text in turns:
-                for k, line in enumerate(text.split("\n")):
+            for role, codes in turns:
+                for k, c in enumerate(codes):
                     state = 2 * ROLES.index(role) + (k > 0)
-                    for feature, value in enumerate(observed(line, after_blank)):
+                    for feature, value in enumerate(_features(c, int(after_blank))):
                         emit[feature][state, value] += 1
                     if before is None:
                         first[state] += 1
                     else:
                         move[before, state] += 1
-                    before, after_blank = state, not line.strip()
+                    before, after_blank = state, bool(c & 1)
         rows = lambda m: m / m.sum(axis=-1, keepdims=True)
         return cls._logs(rows(first), rows(move), [rows(e) for e in emit])
 
@@ -422,17 +427,43 @@ STYLES = (
 )
 
 
-def transcripts(conversations: DataFrame) -> DataFrame:
-    """conversations as raw transcripts: text gets the speaker's marker, in one of STYLES by conv_id; unknown roles get none."""
+def transcripts(conversations: DataFrame, unmarked: float = 0.0) -> DataFrame:
+    """conversations as raw transcripts: text gets the speaker's marker, in one of STYLES by conv_id; unknown roles get none, nor does a share of
+    the turns, by a hash."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     mark = F.lit("")
     for k, marks in enumerate(STYLES):
         for role, text in marks.items():
             mark = F.when((style == k) & (F.col("role") == role), text).otherwise(mark)
-    return conversations.select("conv_id", "turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))
+    mark = F.when(F.pmod(F.xxhash64("conv_id", "turn", F.lit("unmarked")), F.lit(1000)) < 1000 * unmarked, "").otherwise(mark)
+    return conversations.select("conv_id", "turn", "role", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def fitted(conversations: DataFrame, limit: int = 2000, most_turns: int = 64, most_lines: int = 200, unmarked: float = 0.05) -> ChatModel:
+    """The model of labelled conversations (conv_id, turn, role, text) written as transcripts, of which a share of the turns has no marker.
+
+    Learnt from at most `limit` ids, chosen by a hash, and of each from at most its first `most_turns` turns and their first `most_lines` lines:
+    codes of lines, of a byte each, reach the driver. Null ids and turns of unknown roles are left out; without any the default stands.
+    """
+    ids = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(limit)
+    raw = transcripts(conversations, unmarked)
+    rows = raw.join(F.broadcast(ids), F.col("conv_id") == F.col("i")).where(F.col("role").isin(*ROLES))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= most_turns).select("conv_id", "place", "role", "text")
+
+    def coded(batches):
+        for b in batches:
+            codes = [bytes(map(code, t.split("\n", most_lines)[:most_lines])) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(codes, pa.binary())], names=["conv_id", "place", "role", "codes"])
+
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    found: dict = {}
+    for r in sorted(mapped(rows, coded, f"conv_id {kind}, place int, role string, codes binary").collect()):
+        found.setdefault(r["conv_id"], []).append((r["role"], bytes(r["codes"])))
+    return ChatModel.fit_codes(list(found.values()))
 
 
 def op1_chat_formatting(spark, sf_dir):
-    raw = transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    turns = format_chats(raw, "conv_id", "turn", "text")
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = format_chats(transcripts(conversations), "conv_id", "turn", "text", fitted(conversations))
     return turns.select(F.col("id").alias("conv_id"), "stretch", F.col("place").alias("turn"), "role", "content", "rendered")

@@ -21,8 +21,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what spark.checkpoint.dir names; only where that is unset (tests on one machine) a temporary
-    folder is made and set.
+    It is what spark.checkpoint.dir names; only where that is unset and all runs in one process (tests) a temporary
+    folder is made and set. On a cluster without it this is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     conf = conf or spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docweave"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")

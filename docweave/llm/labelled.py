@@ -29,7 +29,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     """doc_id, text, y, whole: labelled documents, at most limits[y] ids of each label y, chosen by a hash of the id.
 
     whole is the number of labelled ids of that y. The ids are at most sum(limits) rows, which bounds what is broadcast to
-    the scan of documents. Null ids and labels are left out; of repeated labels of one id the smallest counts.
+    the scan of documents. Null ids and labels are left out; of repeated labels of one id the smallest counts, and of its texts the first
+    in order.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(list(limits)) & train)
     marks = marks.groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
@@ -37,7 +38,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     parts = [lowest(marks.where(F.col("y") == y), F.col("i"), "i", limit, whole.get(y, 0)).withColumn("whole", F.lit(whole.get(y, 0)).cast("long")) for y, limit in limits.items()]
     chosen = reduce(DataFrame.union, parts)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).drop("i")
+    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("i"))
+    return found.groupBy("doc_id", "y", "whole").agg(F.min("text").alias("text")).select("doc_id", "text", "y", "whole")
 
 
 def joined(texts: list[bytes], pad: int, most: int = 1 << 20, rows: int = 256):

@@ -21,6 +21,8 @@ from docweave.llm.labelled import fold, joined, labelled_sample
 
 _SHAPES, _GRAMS, _ECHOES = 1024, 1024, 2
 TERMS = _SHAPES + _GRAMS + _ECHOES
+#: Cosines this close are equal: copies of one text differ by rounding.
+TIE = 1e-6
 _GROUPS = [(0, _SHAPES, 1.0), (_SHAPES, _SHAPES + _GRAMS, 0.5), (_SHAPES + _GRAMS, TERMS, 1.0)]
 
 
@@ -102,7 +104,10 @@ class Neighbours:
         return cls(idf, space, unit(weighted @ space).astype(np.float32), y.astype(np.float32), float(y.mean()), k, power)
 
     def scores(self, documents: list[bytes | None], block: int = 256) -> np.ndarray:
-        """For each text the share of label 1 among its neighbours' weights; the prior where no neighbour is similar at all."""
+        """For each text the share of label 1 among its neighbours' weights; the prior where no neighbour is similar at all.
+
+        The neighbours are the k most similar vectors and all that tie with the last of them.
+        """
         out = np.full(len(documents), self.prior)
         if not len(self.votes):
             return out
@@ -111,9 +116,16 @@ class Neighbours:
             cosine = latent @ self.vectors.T
             k = min(self.k, cosine.shape[1])
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** self.power
+            nearest = np.take_along_axis(cosine, near, axis=1)
+            weight = np.maximum(nearest, 0).astype(np.float64) ** self.power
             total = weight.sum(axis=1)
             share = (weight * self.votes[near]).sum(axis=1) / np.maximum(total, 1e-300)
+            level = nearest.min(axis=1) - TIE
+            for i in np.flatnonzero((cosine >= level[:, None]).sum(axis=1) > k):  # more than k: all of the last ones vote
+                tied = np.flatnonzero(cosine[i] >= level[i])
+                weight = np.maximum(cosine[i, tied], 0).astype(np.float64) ** self.power
+                total[i] = weight.sum()
+                share[i] = (weight * self.votes[tied]).sum() / max(total[i], 1e-300)
             out[at : at + len(latent)] = np.where(total > 0, share, self.prior)
         return np.clip(out, 0, 1)
 
@@ -170,7 +182,11 @@ def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
 
 def keep_by_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **fit) -> DataFrame:
-    """The rows of documents whose score reaches the threshold, with all their columns."""
+    """The rows of documents whose score reaches the threshold, with all their columns.
+
+    Defined cases are those of quality_scores: null, empty and blank texts get the share of label 1 among the labelled rows, without
+    labels every score is 0.5; null ids and repeated rows are judged like any, an empty table gives no rows, and columns may have any names.
+    """
     model = fit_neighbours(documents, labels, fold(id_col, 4) != 2, id_col, text_col, **fit)
     (score,) = fresh(documents, "quality_score")
     return with_quality(documents, model, text_col, score, at_least=threshold).select(*documents.columns)

@@ -201,14 +201,15 @@ def best_fit_pack(
     """
     if vocabulary is None:
         vocabulary, ranks = default_vocabulary()
-    pieces = stored(tokenised(documents, id_col, text_col, vocabulary, ranks, end_id, capacity, keep_ids), "pieces")
+    pieces = tokenised(documents, id_col, text_col, vocabulary, ranks, end_id, capacity, keep_ids)
+    pieces = stored(pieces.withColumn("salt", F.monotonically_increasing_id()), "pieces")  # so that rows that are alike spread over the buckets
     # numbers within each length: counts of (length, bucket), prefix sums over buckets, and a number within the bucket
     buckets = max(buckets, pieces.count() // 100_000)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(buckets)))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt")) - 1
     ranked = pieces.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own"))
 
     plan = best_fit_decreasing(histogram, capacity)

@@ -1,5 +1,9 @@
 """Encoding with SentencePiece vocabularies: unigram Viterbi over a double-array trie, and decoding.
 
+Scores are those of the vocabulary's file. For unigram vocabularies these are log probabilities, and ids are those of the vocabulary's own
+library. A file of merges (model type BPE) holds ranks instead, as negative numbers: Viterbi then finds the segmentation with the least sum
+of ranks, which decodes to the same text but is not always the one that the merges give.
+
 The trie is built once on the driver and broadcast as two integer arrays. No piece of the usual vocabularies has a white-space marker
 after another character, so texts split exactly before each run of markers; distinct segments are encoded once per worker, many of one
 length at a time, with array operations over all of them.
@@ -359,7 +363,12 @@ def decode(encoded: DataFrame, model: Pieces, id_col: str = "doc_id", ids_col: s
 
 
 def round_trips(documents: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces, n_byte_pieces, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text back."""
+    """doc_id, n_pieces, n_byte_pieces, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text back.
+
+    Defined cases: null and empty texts have no pieces and come back as empty (round_trip is true); texts with U+2581 come back with
+    spaces in its place, and so do, where the vocabulary squeezes white space, texts without what it squeezes (round_trip is false). Null
+    ids and repeated rows are returned like any; an empty table gives no rows; other columns are ignored.
+    """
 
     def digest(m: Pieces, texts):
         ids = m.encode_batch(texts)

@@ -148,8 +148,8 @@ def simhash_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents that stay when one of each component stays: the one with the smallest id.
 
-    All columns are returned. Null ids come after all others; among repeated ids an arbitrary but single row stays. Nulls and empty
-    texts are one component (fingerprint zero).
+    All columns are returned, whatever their names. Null ids come after all others; among repeated ids an arbitrary but single row stays.
+    Nulls and empty texts are one component (fingerprint zero). An empty table gives no rows.
     """
     f, uid, root = fresh(documents, "fingerprint_", "row_", "root_")
     marked = stored(with_fingerprint(documents.withColumn(uid, F.monotonically_increasing_id()), text_col, f), "near-dedup")

@@ -92,10 +92,10 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="toxic", limit=16000, keep=20000, least_z=3.0, least_ratio=1.0) -> Toxicity:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="toxic", limit=16000, least_z=3.0, least_ratio=1.0) -> Toxicity:
     """Fits on at most `limit` labelled ids, half of them toxic.
 
-    The features, at most `keep`, are those whose log-count ratio is at least least_ratio and least_z standard errors away from zero;
+    The features, of 2**20 codes, are those whose log-count ratio is at least least_ratio and least_z standard errors away from zero;
     grams that merely follow a text's language are not.
     """
     marks = labels.select(F.col(id_col), F.col(label_col))
@@ -117,7 +117,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id"
     counts = mapped(sample.select("text", "y"), count, "code long, q long, p long").groupBy("code").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
     ratio = F.log(((F.col("p") + 1) / (n1 + 2)) / ((F.col("q") + 1) / (n0 + 2)))
     z = F.abs(ratio) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
-    top = counts.select("code", ratio.alias("r"), z.alias("z")).where((F.col("z") >= least_z) & (F.abs("r") >= least_ratio)).orderBy(F.desc("z"), "code").limit(keep).toPandas()
+    top = counts.select("code", ratio.alias("r"), z.alias("z")).where((F.col("z") >= least_z) & (F.abs("r") >= least_ratio)).orderBy("code").toPandas()
     table = np.full(1 << _BITS, -1, np.int32)
     table[top.code.to_numpy()] = np.arange(len(top), dtype=np.int32)
     if not len(top):
@@ -152,7 +152,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     ignored.
     """
     model = fit_toxicity(documents, labels, fold(id_col, 5) != 0, id_col, text_col, **fit)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**20 numbers and `keep` weights
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**20 numbers, and at most as many weights
 
     def add(batches):
         for b in batches:

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from docweave.llm.chat import ROLES, ChatModel, format_chats, marker, observed, rendered, transcripts
+from docweave.llm.chat import ROLES, ChatModel, fitted, format_chats, marker, observed, rendered, transcripts
 
 
 @pytest.mark.parametrize(
@@ -97,3 +97,23 @@ def test_stretches_and_streams_give_the_states_of_the_whole(spark):
     for stretch, most in ((7, 5000), (20, 3), (1000, 4)):
         out = format_chats(df, "id", "turn", "text", most_lines=most, per_stretch=stretch).collect()
         assert sorted((r["id"], r["place"], r["role"], r["content"]) for r in out) == want
+
+
+def test_roles_come_back_where_markers_are_missing(spark, sf_dir):
+    """Fitted on half of the conversations, read on the others: held-out shares of lines with the right role."""
+    df = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/conversations.parquet")
+    train, test = df.where("conv_id % 2 = 0"), df.where("conv_id % 2 = 1")
+    model = fitted(train)
+    truth = {}
+    for r in test.orderBy("conv_id", "turn").collect():
+        truth.setdefault(r["conv_id"], []).extend([r["role"]] * len((r["text"] or "").split("\n")))
+    for share, least in ((0.0, 0.99), (0.1, 0.95), (0.3, 0.84)):
+        lines = {}
+        for r in transcripts(test, share).orderBy("conv_id", "turn").collect():
+            own = lines.setdefault(r["conv_id"], ([], []))
+            added = r["text"].split("\n")
+            own[0].extend(added)
+            own[1].extend([r["role"]] * len(added))
+        right = [ROLES[s // 2] == want for texts, wanted in lines.values() for s, want in zip(model.viterbi(texts), wanted)]
+        assert sum(right) >= least * len(right), (share, sum(right) / len(right))
+    assert fitted(df.limit(0)).whole() == ChatModel.default().whole()

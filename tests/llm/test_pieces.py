@@ -98,3 +98,51 @@ def test_frames(spark, public):
     out = round_trips(df, public).toPandas()
     assert len(out) == 5 and out.round_trip.all() and out.n_pieces.tolist()[2:4] == [0, 0]
     assert encode(df.limit(0), public).count() == 0
+
+
+def _as_unigram(model: bytes) -> bytes:
+    """A vocabulary file of merges with its type set to unigram and scores that are no ranks: only what both libraries then do is compared."""
+    from docweave.llm.pieces import _fields
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def message(pairs):
+        out = b""
+        for number, value in pairs:
+            if isinstance(value, int):
+                out += varint(number << 3) + varint(value)
+            elif isinstance(value, tuple):
+                out += varint(number << 3 | 5) + value[0]
+            else:
+                out += varint(number << 3 | 2) + varint(len(value)) + value
+        return out
+
+    rng = random.Random(3)
+    parts = []
+    for number, value in _fields(model):
+        if number == 1:
+            own = dict(_fields(value))
+            score = np.float32(-1 - len(own[1]) * 0.5 - rng.random() * 8).tobytes() if own.get(3, 1) == _NORMAL else bytes(own.get(2, bytes(4)))
+            value = message([(1, bytes(own[1])), (2, (score,)), (3, own.get(3, 1))])
+        elif number == 2:  # the trainer's settings: byte fallback and the type
+            value = message([(3, 1), (35, 1)])
+        parts.append((number, value))
+    return message(parts)
+
+
+def test_ids_are_those_of_the_library_for_unigram_vocabularies():
+    import public_tokenizers
+    import sentencepiece
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = _as_unigram(file.read())
+    own, library = Pieces.parse(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(5)
+    words = "the river Über naïve 東京 don't 12,5 ▁x 𝄞 <b> \t ok\n".split(" ") + ["", "aaaa", "supercalifragilistic"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", "  two  spaces ", "x" * 500]
+    same = [a.tolist() == b for a, b in zip(own.encode_batch(texts), library.encode(texts))]
+    assert all(same), texts[same.index(False)]
