@@ -4,22 +4,24 @@ Every window of `length` bytes (200) has one anchor: the byte string of `GRAM` b
 leftmost on ties. Equal windows have equal anchors at equal places, so a window can only repeat among the windows whose anchor
 is the same string. That deals the suffixes of the corpus into buckets by a key of about one row in 80 bytes:
 
-1. each text gives a row for each run of windows with one anchor: hash of the anchor, hash of the bytes the run covers;
-2. anchors that occur once are dropped; runs whose covered bytes occur twice repeat whole;
-3. where one anchor has runs that differ, the distinct runs meet in a task: the linear suffix sorter orders what follows and what
-   precedes the anchor, common prefixes of neighbours are compared byte by byte, and a window repeats if another
-   run agrees with it far enough on both sides.
+1. each text gives a row for each run of windows with one anchor: hash of the anchor, 128-bit hash of the bytes the run covers;
+2. anchors that occur once are dropped; of runs alike by their hash, which are one class, the bytes of two are fetched;
+3. the runs fetched for an anchor meet in a task: the linear suffix sorter orders what follows and what precedes the anchor, common
+   prefixes of neighbours are compared byte by byte, and a window repeats if another run agrees with it far enough on both
+   sides. So it is the sorter that finds two runs of a class equal; only then do all others of the class count as repeated too.
 
 A bucket with more than `cap` distinct runs is not brought together: its runs are cut into shorter ones, whose windows share
-more bytes, and dealt out by those. At the last level a run is a single window and equal rows are equal windows.
+more bytes, and dealt out by those. At the last level a run is a single window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,12 +29,14 @@ from docweave.llm.common import discard, fresh, mapped, raw, stored
 from docweave.llm.suffix_array import suffix_array
 
 GRAM = 40
+#: Bytes of a symbol of the suffix sorter.
+BLOCK = 100
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Positions lie in the low bits of the keys that the sliding minimum compares.
 _POSITION = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 22
-_RUN = [("at", pa.int64()), ("low", pa.int16()), ("high", pa.int16()), ("g", pa.int64()), ("f", pa.int64())]
-_RUN_DDL = "at long, low short, high short, g long, f long"
+_RUN = [("at", pa.int64()), ("low", pa.int16()), ("high", pa.int16()), ("g", pa.int64()), ("f", pa.int64()), ("h", pa.int64())]
+_RUN_DDL = "at long, low short, high short, g long, f long, h long"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -87,8 +91,14 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int):
     return anchor[first], first, last, grams[anchor[first]]
 
 
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests as two longs each."""
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _runs(batches, length):
-    """Rows of runs: doc_id, th, at (anchor's place in its text), low and high (windows start at - high to at - low), g, f."""
+    """Rows of runs: doc_id, th, at (anchor's place in its text), low and high (windows start at - high to at - low), g (the anchor's hash), f and h (that of the covered bytes)."""
 
     def emit(row, data, pieces):
         ends = np.cumsum([len(p) for _, _, p in pieces])
@@ -100,9 +110,9 @@ def _runs(batches, length):
         which = np.searchsorted(ends, first, side="right")
         base = np.array([at - (e - len(p)) for (_, at, p), e in zip(pieces, ends)])[which]
         view = data.tobytes()
-        covered = [xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
+        f, h = _halves([xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())])
         rows = np.array([r for r, _, _ in pieces])[which]
-        return rows, anchor + base, anchor - last, anchor - first, grams.view(np.int64), np.array(covered, dtype=np.uint64).view(np.int64)
+        return rows, anchor + base, anchor - last, anchor - first, grams.view(np.int64), f, h
 
     for b in batches:
         found, pieces, size = [], [], 0
@@ -138,23 +148,22 @@ def repeated_windows(covered: list[bytes], low: np.ndarray, high: np.ndarray, le
     """For each run, which of its windows (column: distance from window start to anchor) occur in another run too.
 
     covered[i] holds the bytes from high[i] before the anchor on, up to the end of the window that starts low[i] before it. Runs with
-    different anchors may be mixed. What follows and precedes the anchors is ordered by suffix_array, over an alphabet of GRAM-byte
+    different anchors may be mixed. What follows and precedes the anchors is ordered by suffix_array, over an alphabet of BLOCK-byte
     blocks.
     """
     n, widest = len(covered), length - GRAM
-    after = np.zeros((n, length), dtype=np.uint8)
-    before = np.zeros((n, -(-widest // GRAM) * GRAM), dtype=np.uint8)
+    wide, back_wide = -(-length // BLOCK), -(-widest // BLOCK)
+    after = np.zeros((n, wide * BLOCK), dtype=np.uint8)
+    before = np.zeros((n, back_wide * BLOCK), dtype=np.uint8)
     for i, (text, h) in enumerate(zip(covered, high.tolist())):
         text = np.frombuffer(text, np.uint8)
-        after[i, : len(text) - h] = text[h:]
-        before[i, :h] = text[:h][::-1]
-    blocks = np.concatenate([np.pad(after, ((0, 0), (0, -length % GRAM))).reshape(-1, GRAM), before.reshape(-1, GRAM)])
-    _, rank = np.unique(np.ascontiguousarray(blocks).view(f"S{GRAM}").ravel(), return_inverse=True)
-    split = n * -(-length // GRAM)
-    text = np.zeros((n, 2 + len(blocks) // n), dtype=np.int64)  # two strings a run, each ended by 0
-    wide = split // n
-    text[:, :wide] = rank[:split].reshape(n, -1) + 1
-    text[:, wide + 1 : -1] = rank[split:].reshape(n, -1) + 1
+        after[i, : len(text) - h] = np.where(text[h:], text[h:], 255)  # zeros are past the end; 255 is in no UTF-8 text
+        before[i, :h] = np.where(text[:h], text[:h], 255)[::-1]
+    blocks = np.concatenate([after.reshape(-1, BLOCK), before.reshape(-1, BLOCK)])
+    _, rank = np.unique(blocks.view(f"S{BLOCK}").ravel(), return_inverse=True)
+    text = np.zeros((n, wide + back_wide + 2), dtype=np.int64)  # two strings a run, each ended by 0
+    text[:, :wide] = rank[: n * wide].reshape(n, -1) + 1
+    text[:, wide + 1 : -1] = rank[n * wide :].reshape(n, -1) + 1
     order = np.array(suffix_array(text.ravel().tolist()), dtype=np.int64)
     row, column = np.divmod(order, text.shape[1])
     by_after, by_before = row[column == 0], row[column == wide + 1]
@@ -174,8 +183,9 @@ def repeated_windows(covered: list[bytes], low: np.ndarray, high: np.ndarray, le
 
 
 def _spans_of(batches, length, least):
-    """doc_id, th, s, e: the bytes of each row's windows that repeat. Rows come grouped by g; whole groups are compared."""
-    names = ["doc_id", "th", "s", "e"]
+    """doc_id, th, s, e, f, h, whole: the bytes of each row's windows that repeat, and whether all of a class's do that has more than the rows
+    here. Rows come grouped by g; whole groups are compared."""
+    names = ["doc_id", "th", "s", "e", "f", "h", "whole"]
 
     def compare(table):
         if table.num_rows < 2:
@@ -186,8 +196,10 @@ def _spans_of(batches, length, least):
         row, first = np.nonzero(edge == 1)
         _, past = np.nonzero(edge == -1)
         taken = pa.array(row)
+        whole = (found.sum(axis=1) == high - low + 1) & (table.column("n").to_numpy() > 2)
         columns = [table.column("doc_id").combine_chunks().take(taken), table.column("th").combine_chunks().take(taken)]
         columns += [pa.array(at[row] - past + 1), pa.array(at[row] - first + length)]
+        columns += [table.column("f").combine_chunks().take(taken), table.column("h").combine_chunks().take(taken), pa.array(whole[row])]
         return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names)
 
     held: list[pa.RecordBatch] = []
@@ -215,9 +227,9 @@ def _spans_of(batches, length, least):
 
 
 def _cut(batches, length, width):
-    """Runs cut at multiples of width; g becomes the hash of the bytes that all windows of the cut share, f that of what it covers."""
+    """Runs cut at multiples of width; g becomes the hash of the bytes that all windows of the cut share, f and h that of what it covers."""
     for b in batches:
-        rows, low, high, g, f, covered = [], [], [], [], [], []
+        rows, low, high, g, digests, covered = [], [], [], [], [], []
         for i, (text, lo, hi) in enumerate(zip(b.column("covered").to_pylist(), b.column("low").to_pylist(), b.column("high").to_pylist())):
             for cell in range(lo // width, hi // width + 1):
                 first, last = cell * width, cell * width + width - 1
@@ -227,20 +239,39 @@ def _cut(batches, length, width):
                 low.append(a)
                 high.append(z)
                 g.append(xxhash.xxh3_64_intdigest(text[hi - first : hi + length - last], seed=cell + 1))
-                f.append(xxhash.xxh3_64_intdigest(part))
+                digests.append(xxhash.xxh3_128_digest(part))
                 covered.append(part)
         taken = pa.array(rows, pa.int64())
-        signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-        new = {"low": pa.array(low, pa.int16()), "high": pa.array(high, pa.int16()), "g": signed(g), "f": signed(f), "covered": pa.array(covered, pa.binary())}
+        f, h = _halves(digests)
+        new = {"low": pa.array(low, pa.int16()), "high": pa.array(high, pa.int16()), "g": pa.array(np.array(g, dtype=np.uint64).view(np.int64)), "f": pa.array(f), "h": pa.array(h), "covered": pa.array(covered, pa.binary())}
         yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c).take(taken) for c in b.schema.names], names=b.schema.names)
 
 
-def _repeated(rows: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows whose g and f other rows have too. Each pair's rows are dealt out by a salt, so that no task gets all of a frequent one."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "at", "low"), F.lit(salts)))
-    sizes = rows.groupBy("g", "f", "salt").agg(F.count("*").alias("own"))
-    sizes = sizes.withColumn("all", F.sum("own").over(Window.partitionBy("g", "f")))  # at most a row for each salt
-    return rows.join(sizes.where(F.col("all") > 1).select("g", "f", "salt"), ["g", "f", "salt"], "left_semi")
+def _salted(rows: DataFrame) -> DataFrame:
+    """rows with a salt, so many values of it that even a class of all rows is dealt out over them by some 100,000."""
+    salts = max(16, rows.count() // 100_000)
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "at", "low"), F.lit(salts)))
+
+
+def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The salted rows whose f and h are among those of classes."""
+    keys = rows.select("f", "h", "salt").distinct().join(classes, ["f", "h"])  # at most a row for each class and salt
+    return rows.join(keys, ["f", "h", "salt"], "left_semi")
+
+
+def _fetched(classes: DataFrame, cap: int) -> DataFrame:
+    """The rows whose bytes the sorter needs: one of each class or two, if there are as many, by the key under which they meet.
+
+    classes: g, f, h, n and the first and last row r, r2 of each. Classes of a crowded g meet by cuts, and by themselves to find their rows equal.
+    """
+    crowds = classes.groupBy("g").agg(F.count("*").alias("crowd"))
+    known = classes.join(crowds, "g").where("crowd > 1 OR n > 1")
+    row = lambda r, k, g, crowd: F.struct(F.col(r).alias("r"), F.lit(k).alias("k"), g.alias("g"), crowd.alias("crowd"))
+    g, crowd, own = F.col("g"), F.col("crowd"), F.xxhash64("g", "f", "h")
+    together = F.when(F.col("n") > 1, F.array(row("r", 0, g, crowd), row("r2", 1, g, crowd))).otherwise(F.array(row("r", 0, g, crowd)))
+    alone = F.lit(1).cast("long")  # never crowded
+    apart = F.when(F.col("n") > 1, F.array(row("r", 0, g, crowd), row("r", 0, own, alone), row("r2", 1, own, alone))).otherwise(F.array(row("r", 0, g, crowd)))
+    return known.select("f", "h", "n", F.explode(F.when(crowd <= cap, together).otherwise(apart)).alias("x")).select("x.r.*", "x.k", "x.g", "f", "h", "n", "x.crowd")
 
 
 def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int = 200, cap: int = 1024) -> DataFrame:
@@ -252,52 +283,52 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     runs = stored(mapped(docs.where(F.octet_length("text") >= length), lambda b: _runs(b, length), f"doc_id {kind}, th long, {_RUN_DDL}"), "runs")
-    anchors = runs.groupBy("g").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("z")).where("n > 1")
-    anchors = stored(anchors.select("g", F.expr("a = z").alias("alike")), "anchors")  # apart, so that the join of a hot anchor can be split
-    shared = stored(runs.join(anchors, "g"), "shared-runs")
+    anchors = stored(runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchors")  # apart, so that the join of a hot anchor can be split
+    shared = stored(runs.join(anchors, "g", "left_semi"), "shared-runs")
     discard(runs, anchors)
-    window = lambda df: df.select("doc_id", "th", F.expr("at - high").alias("s"), F.expr(f"at - low + {length}").alias("e"))
-    spans = [window(shared.where("alike"))]
-
-    mixed = shared.where("NOT alike")
     one = F.struct("doc_id", "th", "at", "low", "high")
-    distinct = stored(mixed.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(one).alias("r")), "distinct-runs")
-    spans.append(window(_repeated(mixed)))
-    crowds = distinct.groupBy("g").agg(F.count("*").alias("crowd"))
-    needed = distinct.join(crowds.where("crowd > 1"), "g").select("r.doc_id", "r.th", F.struct("g", "f", "n", "crowd", "r.at", "r.low", "r.high").alias("w"))
-    needed = needed.groupBy("doc_id", "th").agg(F.collect_list("w").alias("w"))  # at most one in 80 bytes of the text
+    classes = stored(shared.groupBy("g", "f", "h").agg(F.count("*").alias("n"), F.min(one).alias("r"), F.max(one).alias("r2")), "classes")
+    needed = _fetched(classes, cap)
+    columns = ["at", "low", "high", "g", "f", "h", "n", "crowd", "k"]
+    needed = needed.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("w"))  # some for every 80 bytes of the text
 
     def extract(batches):
-        names = ["doc_id", "th", "at", "low", "high", "g", "f", "n", "crowd", "covered"]
+        kinds = [*(t for _, t in _RUN), pa.int64(), pa.int64(), pa.int32()]
         for b in batches:
             for row, (text, wanted) in enumerate(zip(raw(b.column(2)), b.column(3).to_pylist())):
-                columns = [pa.array([w[c] for w in wanted], t) for c, t in (*_RUN, ("n", pa.int64()), ("crowd", pa.int64()))]
+                found = [pa.array([w[c] for w in wanted], t) for c, t in zip(columns, kinds)]
                 taken = pa.array([row] * len(wanted), pa.int64())
                 covered = pa.array([text[w["at"] - w["high"] : w["at"] - w["low"] + length] for w in wanted], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *columns, covered], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *found, covered], names=["doc_id", "th", *columns, "covered"])
 
     here = docs.alias("d").join(needed.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.th = w.th")).select("d.doc_id", "d.th", "d.text", "w.w")
-    row_ddl = f"doc_id {kind}, th long, {_RUN_DDL}, n long, crowd long, covered binary"
-    members = stored(mapped(here, extract, row_ddl), "members")
-    width = length - GRAM + 1
+    row_ddl = f"doc_id {kind}, th long, {_RUN_DDL}, n long, crowd long, k int, covered binary"
+    members = mapped(here, extract, row_ddl)
+    if not docs.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows give each of their runs more than once
+        members = members.dropDuplicates(["doc_id", "th", "at", "low", "g", "k"])
+    members = stored(members, "members")
+    discard(classes)
+    width, rows, spans, done = length - GRAM + 1, shared, [], [shared]
     while True:
         small = members.where(F.col("crowd") <= cap).repartition("g").sortWithinPartitions("g")
-        spans.append(mapped(small, lambda b: _spans_of(b, length, 2 * cap), f"doc_id {kind}, th long, s long, e long"))
+        found = stored(mapped(small, lambda b: _spans_of(b, length, 2 * cap), f"doc_id {kind}, th long, s long, e long, f long, h long, whole boolean"), "found")
+        done += [found, rows]
+        spans.append(found.select("doc_id", "th", "s", "e"))
+        alike = _of_classes(_salted(rows), found.where("whole").select("f", "h").distinct())
+        spans.append(alike.select("doc_id", "th", F.expr("at - high").alias("s"), F.expr(f"at - low + {length}").alias("e")))
         crowded = members.where(F.col("crowd") > cap)
         if width == 1 or crowded.isEmpty():
             break
         width = -(-width // 4)
-        cut = stored(mapped(crowded.drop("crowd"), lambda b, w=width: _cut(b, length, w), row_ddl.replace("crowd long, ", "")), "cut-runs")
-        alike = cut.select("g", "f").distinct()
-        spans.append(window(_repeated(cut)))
-        crowds = alike.groupBy("g").agg(F.count("*").alias("crowd")).where("crowd > 1")
+        rows = stored(mapped(crowded.select("doc_id", "th", *(c for c, _ in _RUN), "covered"), lambda b, w=width: _cut(b, length, w), f"doc_id {kind}, th long, {_RUN_DDL}, covered binary"), "cut-runs")
         each = F.struct("doc_id", "th", "at", "low", "high", "covered")
-        members = cut.groupBy("g", "f").agg(F.sum("n").alias("n"), F.min(each).alias("r")).join(crowds, "g")
-        members = stored(members.select("r.doc_id", "r.th", "r.at", "r.low", "r.high", "g", "f", "n", "crowd", "r.covered"), "members")
-    every = spans[0]
-    for more in spans[1:]:
-        every = every.union(more)
-    return every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        classes = rows.groupBy("g", "f", "h").agg(F.count("*").alias("n"), F.min(each).alias("r"), F.max(each).alias("r2"))
+        members, before = stored(_fetched(classes, cap), "members"), members
+        discard(before)
+    every = reduce(DataFrame.union, spans)
+    out = stored(every.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    discard(members, *done)
+    return out
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -359,7 +390,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def cut_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, cap: int = 1024) -> DataFrame:
     """documents with what remove_repeats leaves of each text in its place; null texts stay null.
 
-    A character that a cut leaves incomplete goes too.
+    A character that a cut leaves incomplete goes too. Defined cases are those of remove_repeats: texts shorter than length stay whole, repeated
+    rows are repeats of each other, null ids count like any, an empty table gives no rows, and columns may have any names.
     """
     joined, _ = _with_spans(documents, id_col, text_col, length, cap)
     at = documents.columns.index(text_col)

@@ -2,9 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from docweave.llm.substrings import merged, remove_repeats, repeated_windows, runs_of, sliding_minimum
+from docweave.llm.substrings import _spans_of, cut_repeats, merged, remove_repeats, repeated_windows, runs_of, sliding_minimum
 from docweave.llm.suffix_array import suffix_array
 
 
@@ -102,3 +103,50 @@ def test_spans_merge():
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_hashes_of_different_bytes_remove_nothing():
+    """Rows of one class whose bytes differ: the sorter finds no repeat, and the class is not said to be equal as a whole."""
+
+    def batch(covered):
+        n = len(covered)
+        ints = lambda v, t=pa.int64(): pa.array([v] * n, t)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(n)), ints(7), ints(50), ints(0, pa.int16()), ints(20, pa.int16()), ints(1), ints(2), ints(3), ints(5), ints(1), pa.array(range(n), pa.int32()), pa.array(covered, pa.binary())],
+            names=["doc_id", "th", "at", "low", "high", "g", "f", "h", "n", "crowd", "k", "covered"],
+        )
+
+    rng = np.random.default_rng(2)
+    one = rng.integers(97, 123, 220, dtype=np.uint8)
+    other = one.copy()
+    other[100] ^= 1
+    assert not sum(b.num_rows for b in _spans_of([batch([one.tobytes(), other.tobytes()])], 200, 10))
+    (found,) = _spans_of([batch([one.tobytes(), one.tobytes()])], 200, 10)
+    assert found.to_pylist()[0] == {"doc_id": 0, "th": 7, "s": 30, "e": 250, "f": 2, "h": 3, "whole": True}
+    other[100], other[215] = one[100], one[215] ^ 1
+    (found,) = _spans_of([batch([one.tobytes(), other.tobytes()])], 200, 10)
+    assert [(r["s"], r["e"], r["whole"]) for r in found.to_pylist()] == [(30, 245, False)] * 2
+
+
+def test_many_copies_and_repeated_rows(spark):
+    """A class of hundreds of rows, most of them repeats of one row: all lose the passage."""
+    rng = random.Random(4)
+    prose = lambda: "".join(rng.choice("aeiounrst ") for _ in range(300))
+    shared = prose()
+    rows = [(i, prose() + shared) for i in range(40)] + [(77, shared)] * 300 + [(None, shared)] * 5 + [(500 + i, shared) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for cap in (1024, 4):
+        out = remove_repeats(df, cap=cap).collect()
+        want = Counter((i, kept) for (i, _), (kept, _, _) in zip(rows, slow([t.encode() for _, t in rows], 200)))
+        assert Counter((r["doc_id"], bytes(r["kept_bytes"])) for r in out) == want
+
+
+def test_cut_characters_go(spark):
+    """A repeat that ends within a character: what is left of the character goes too; null texts stay null."""
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdef") for _ in range(220))
+    texts = ["é" + shared + "é tail one", "è" + shared + "è tail two", None, ""]  # é and è share their first byte
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
+    out = {r["doc_id"]: r["text"] for r in cut_repeats(df).collect()}
+    kept = [k.decode(errors="ignore") for k, _, _ in slow([(t or "").encode() for t in texts], 200)]
+    assert out == {0: kept[0], 1: kept[1], 2: None, 3: ""} and kept[0].endswith(" tail one") and "é" not in kept[0][1:]
