@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from docweave.deploy import ship
 from docweave.errors import ROW_ERRORS, described
+from docweave.functions import batch as batch_
 from docweave.functions import checks, edit, keeping, rawjson
 from docweave.functions.evaluate import evaluate
 from docweave.plans import ast as A
-from docweave.plans.keep import keep_tree
+from docweave.plans.keep import Members, keep_tree
 from docweave.plans.parser import parse
 from docweave.plans.paths import parse_path, parse_pointer
 from docweave.plans.variant import VariantCompiler, compile_variant, is_number, key_path, kind_name
@@ -81,7 +82,7 @@ def find_pointer(doc: Column, pointer: str, kind: str = "variant") -> Column:
 def raw(text: Column, path) -> Column:
     """The text of the value at a path, exactly as it stands."""
     steps = _steps(path)
-    return _exact(text, lambda t: rawjson.find(t, steps))
+    return _exact(text, lambda t: rawjson.find(t, steps), many=lambda b: batch_.values(b, steps))
 
 
 def presence(doc: Column, path) -> Column:
@@ -166,12 +167,44 @@ def jmes_rows(doc: Column, expression: str | A.Expr) -> Column:
 def jmes_exact(text: Column, expression: str, strict: bool = False, on_error: str = "null") -> Column:
     """An expression over text, as text: order, lexemes and inner white space survive. strict makes missing values errors."""
     e = parse(expression)
-    return _exact(text, lambda t: evaluate(e, t, strict), on_error)
+    shape = None if strict else _simple(e)
+    return _exact(text, lambda t: evaluate(e, t, strict), on_error, many=shape and (lambda b: batch_.projected(b, *shape)))
 
 
-def _exact(text: Column, function, on_error: str = "null") -> Column:
-    """function, over Arrow batches of text. on_error: "null", "raise", or "column" for a struct of value and error."""
+def _keys(e: A.Expr) -> list[str] | None:
+    """The keys of a chain of fields."""
+    if isinstance(e, A.Field):
+        return [e.name]
+    if isinstance(e, A.Sub):
+        left, right = _keys(e.of), _keys(e.then)
+        return left + right if left and right else None
+    return None
+
+
+def _simple(e: A.Expr) -> tuple | None:
+    """The path and the keys of an expression a.b[*].c.d; None for any other."""
+    if not isinstance(e, A.Each):
+        return None
+    path, steps = _keys(e.of), [] if isinstance(e.then, A.Current) else _keys(e.then)
+    return (path, steps) if path and steps is not None else None
+
+
+def _exact(text: Column, function, on_error: str = "null", many=None, kind: str = "string") -> Column:
+    """function, over Arrow batches of text. on_error: "null", "raise", or "column" for a struct of value and error.
+
+    many, if given, is the same for a list of UTF-8 texts at once; what it leaves out, as None, goes through function.
+    """
     ship()
+    decode = kind == "string"
+
+    def all_of(texts: list) -> list:
+        if many is None:
+            return [run(t) for t in texts]
+        at = [i for i, t in enumerate(texts) if t is not None]
+        out: list = [(None, None)] * len(texts)
+        for i, made in zip(at, batch_.chunked([texts[i].encode() for i in at], many)):
+            out[i] = run(texts[i]) if made is None else (made.decode() if decode else made, None)
+        return out
 
     def run(t):
         try:
@@ -185,12 +218,12 @@ def _exact(text: Column, function, on_error: str = "null") -> Column:
 
         @F.pandas_udf("value string, error string")
         def apply(batch: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([run(t) for t in batch], columns=["value", "error"])
+            return pd.DataFrame(all_of(batch.tolist()), columns=["value", "error"])
     else:
 
-        @F.pandas_udf("string")
+        @F.pandas_udf(kind)
         def apply(batch: pd.Series) -> pd.Series:
-            return pd.Series([run(t)[0] for t in batch], dtype=object)
+            return pd.Series([x for x, _ in all_of(batch.tolist())], dtype=object if decode else "Int64")
 
     return apply(text)
 
@@ -201,7 +234,8 @@ def _exact(text: Column, function, on_error: str = "null") -> Column:
 def keep(text: Column, paths: list[str], style: str | int = keeping.COMPACT, strict: bool = False, on_error: str = "null") -> Column:
     """What a keep list leaves of each document. style: "compact", "preserve", or spaces of an indentation."""
     tree = keep_tree(paths)
-    return _exact(text, lambda t: keeping.kept(tree, t, strict, style), on_error)
+    many = None if strict or style != keeping.COMPACT or not isinstance(tree, Members) or not batch_.plain(tree) else lambda b: batch_.kept(tree, b)
+    return _exact(text, lambda t: keeping.kept(tree, t, strict, style), on_error, many)
 
 
 def pretty(text: Column, indent: int = 2) -> Column:
@@ -217,7 +251,7 @@ def projected_len(projected: Column) -> Column:
 def values_len(text: Column, paths: list[str]) -> Column:
     """Bytes of the values at the paths together; NULL if one is missing."""
     steps = [parse_path(p) for p in paths]
-    return _exact(text, lambda t: str(sum(len(rawjson.find(t, s).encode()) for s in steps))).cast("long")
+    return _exact(text, lambda t: sum(len(rawjson.find(t, s).encode()) for s in steps), many=lambda b: batch_.lengths(b, steps), kind="long")
 
 
 def estimated_len(text: Column, paths: list[str]) -> Column:
@@ -225,7 +259,7 @@ def estimated_len(text: Column, paths: list[str]) -> Column:
     steps = [parse_path(p) for p in paths]
     own = [2 + next((len(s.encode()) for s in reversed(p) if isinstance(s, str)), 0) for p in steps]
     fixed = 2 + len(steps) - 1 + sum(own) + len(steps) if steps else 2
-    return _exact(text, lambda t: str(fixed + sum(len(rawjson.find(t, s).encode()) for s in steps))).cast("long")
+    return F.lit(fixed).cast("long") + values_len(text, paths)
 
 
 # edits
@@ -234,17 +268,21 @@ def estimated_len(text: Column, paths: list[str]) -> Column:
 def edited(text: Column, edits: edit.Edits, on_error: str = "keep") -> Column:
     """Documents after a list of edits, parsed once each. on_error: "keep" the document as it was, "null", "raise", or "column" for a struct of value
     (the document as it was, if a step fails) and error."""
+    many = lambda b: batch_.edited(b, edits.ops)
     if on_error == "column":
         ship()
 
         @F.pandas_udf("value string, error string")
         def both(batch: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([edits.attempt(t) if t is not None else (None, None) for t in batch], columns=["value", "error"])
+            texts = batch.tolist()
+            at = [i for i, t in enumerate(texts) if t is not None]
+            out: list = [(None, None)] * len(texts)
+            for i, made in zip(at, batch_.chunked([texts[i].encode() for i in at], many)):
+                out[i] = edits.attempt(texts[i]) if made is None else (made.decode(), None)
+            return pd.DataFrame(out, columns=["value", "error"])
 
         return both(text)
-    if on_error == "keep":
-        return _exact(text, lambda t: edits.attempt(t)[0])
-    return _exact(text, edits.apply, on_error)
+    return _exact(text, (lambda t: edits.attempt(t)[0]) if on_error == "keep" else edits.apply, "null" if on_error == "keep" else on_error, many)
 
 
 def merge_patched(text: Column, patch: Column) -> Column:
@@ -267,22 +305,21 @@ def merge_patched(text: Column, patch: Column) -> Column:
 # checks
 
 
+def _error_of(check, text: str) -> str | None:
+    try:
+        check(text)
+    except ROW_ERRORS as e:
+        return described(e)
+    return None
+
+
 def violation(text: Column, check) -> Column:
     """The error that check(text) raises, as text; NULL if it raises none. check: a function of functions.checks, bound to its arguments."""
     ship()
 
     @F.pandas_udf("string")
     def apply(batch: pd.Series) -> pd.Series:
-        def run(t):
-            if t is None:
-                return None
-            try:
-                check(t)
-            except ROW_ERRORS as e:
-                return described(e)
-            return None
-
-        return pd.Series([run(t) for t in batch], dtype=object)
+        return pd.Series([None if t is None else _error_of(check, t) for t in batch], dtype=object)
 
     return apply(text)
 
@@ -301,12 +338,13 @@ def unknown_keys(doc: Column, path, allowed: list[str]) -> Column:
 
 def depth(text: Column) -> Column:
     """How deep containers nest (see functions.rawjson.depth_of)."""
-    return _exact(text, lambda t: str(rawjson.depth_of(t))).cast("int")
+    return _exact(text, rawjson.depth_of, many=batch_.depths, kind="int")
 
 
 def over_limits(text: Column, limits: checks.Limits) -> Column:
     """The limit that a document breaks, as text; NULL if none."""
-    return violation(text, limits.check)
+    most = lambda b: [None if d is None or limits.max_depth is not None and d > limits.max_depth or limits.max_bytes is not None and len(t) > limits.max_bytes else b"" for t, d in zip(b, batch_.depths(b))]
+    return F.nullif(_exact(text, lambda t: _error_of(limits.check, t) or "", many=most), F.lit(""))
 
 
 # building

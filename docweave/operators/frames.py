@@ -110,9 +110,13 @@ class JsonFrame:
         return JsonFrame(df, self.doc)
 
     def indexed(self) -> JsonFrame:
-        """Documents parsed and cached, for several queries over them."""
+        """Documents parsed and cached, for several queries over them, until release(). See operators.index for reads by position."""
         return self.with_df(self.df.withColumn(self.doc, self.variant()).cache())
 
+    def release(self) -> None:
+        """Gives back what indexed() cached."""
+        self.df.unpersist()
+
     def variant(self) -> Column:
         return F.col(self.doc) if dict(self.df.dtypes)[self.doc] == "variant" else C.parsed(F.col(self.doc))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 
 from docweave.errors import PathNotFound, TypeMismatch
-from docweave.functions import edit, keeping, rawjson
+from docweave.functions import batch, edit, keeping, rawjson
 from docweave.functions.evaluate import evaluate
 from docweave.operators.columns import _exact
 from docweave.plans.keep import keep_tree
@@ -89,4 +89,5 @@ class TransformPipeline:
 
     def apply(self, text: Column, on_error: str = "null") -> Column:
         """The pipeline over a text column, in one Arrow-batched pass without intermediate columns."""
-        return _exact(text, self.run, on_error)
+        many = (lambda b: batch.transformed(b, self.steps, self.chosen)) if self.steps else None
+        return _exact(text, self.run, on_error, many)

@@ -71,7 +71,7 @@ def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, value: {"id", "user", "type", "value": absent for ids 7 n, null for 7 n + 1, "props": {"k"}}."""
     value = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 7 == 1, ',"value":null').otherwise(F.concat(F.lit(',"value":'), F.to_json(F.array("value")).substr(F.lit(2), F.length(F.to_json(F.array("value"))) - 2)))
     text = F.concat(F.lit('{"id":'), "event_id", F.lit(',"user":'), "user_id", F.lit(',"type":"'), "event_type", F.lit('"'), value, F.lit(',"props":'), "props", F.lit("}"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), text.alias("value"))
+    return dealt(table(spark, sf_dir, "events")).select(F.col("event_id").alias("key"), text.alias("value"))
 
 
 def part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,21 @@ def part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"),
         F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("meta"), F.split("p_name", " ").alias("tags"),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.to_json(doc).alias("value"))
+    return dealt(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("key"), F.to_json(doc).alias("value"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a small file of one row group is one task else, whatever is then done to its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or, within one process, a temporary one where that is unset."""
     import tempfile
     import uuid
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='docweave')}/{name}-{uuid.uuid4().hex}"

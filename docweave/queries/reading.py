@@ -3,8 +3,12 @@
 from pyspark.sql import functions as F
 
 from docweave.functions import checks
+from docweave.functions.edit import Edits
 from docweave.operators import columns as C
 from docweave.operators.frames import JsonFrame
+from docweave.operators.index import Indexed
+from docweave.plans.keep import keep_arrays, keep_tree
+from docweave.plans.paths import array_prefixes, parse_path, path_text
 from docweave.queries.base import LINES, customer_docs, event_docs, order_docs, part_docs, pack_docs, query, scratch, table
 from docweave.sources import jsonl
 
@@ -92,6 +96,36 @@ def indexed_reads(spark, d):
     return docs.df.select(F.col("key").alias("id"), "first", "second", C.array_len(F.col("value"), "lines").cast("long").alias("size"))
 
 
+@query("index_elements", f"WITH {LINES} SELECT l_orderkey AS id, n AS size, max(CASE WHEN rn = 1 THEN CAST(l_partkey AS VARCHAR) END) AS first, max(CASE WHEN rn = n THEN CAST(l_partkey AS VARCHAR) END) AS last, CAST(NULL AS VARCHAR) AS past, '\"' || o_orderstatus || '\"' AS status, 4 AS members, CAST(NULL AS VARCHAR) AS stale, CAST(n + 1 AS BIGINT) AS rebuilt FROM lines GROUP BY l_orderkey, n, o_orderstatus")
+def index_elements(spark, d):
+    """Reads by position through an index of an array and of the root; after an edit it is stale until it is built anew."""
+    docs = Indexed(order_docs(spark, d), "value", arrays=["lines"], objects=[""])
+    part = lambda text: F.get_json_object(text, "$.part")
+    reads = docs.df.select(
+        F.col("key").alias("id"), docs.size("lines").cast("long").alias("size"), part(docs.element("lines", 0)).alias("first"), part(docs.element("lines", -1)).alias("last"),
+        docs.element("lines", 999).alias("past"), docs.member("", "status").alias("status"), F.size(docs.keys()).alias("members"), F.col("value"), F.col("index_"),
+    )
+    changed = docs._of(reads).edited(C.edited(F.col("value"), Edits().append("lines", {"part": 0})))
+    anew = changed.rebuilt()
+    both = changed.df.withColumn("stale", changed.element("lines", 0)).drop("index_")
+    return anew._of(anew._built(both)).df.select("id", "size", "first", "last", "past", "status", "members", "stale", anew.size("lines").cast("long").alias("rebuilt"))
+
+
+@query("index_plan", "SELECT * FROM (VALUES ('a[0].b[1].c', 'a,a[0].b', 'a[0].b[1].c', 'a'), ('x.y', '', 'x.y', ''), ('lines[2].part', 'lines', 'lines[2].part', 'lines')) t(path, prefixes, parsed, arrays)")
+def index_plan(spark, d):
+    """What an index for a path must cover, told from the path alone: array prefixes, its steps, arrays of its keep list."""
+    rows = [(p, ",".join(array_prefixes(p)), path_text(parse_path(p)), ",".join(keep_arrays(keep_tree([p])))) for p in ("a[0].b[1].c", "x.y", "lines[2].part")]
+    return spark.createDataFrame(rows, "path string, prefixes string, parsed string, arrays string").select("path", "prefixes", "parsed", F.split("arrays", ",")[0].alias("arrays"))
+
+
+@query("jsonl_callbacks", "SELECT count(*) AS n FROM events")
+def jsonl_callbacks(spark, d):
+    """A function called for every document, where it lies; it counts them in an accumulator."""
+    docs, seen = event_docs(spark, d), spark.sparkContext.accumulator(0)
+    jsonl.for_each_document(docs, lambda text: seen.add(1 if text.startswith("{") else 0))
+    return spark.createDataFrame([(seen.value,)], "n long")
+
+
 @query("jsonl_round_trip", f"WITH {LINES} SELECT count(DISTINCT l_orderkey) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lines")
 def jsonl_round_trip(spark, d):
     path = scratch(spark, "jsonl")

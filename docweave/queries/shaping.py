@@ -15,10 +15,10 @@ from docweave.sources import jsonl
 PARTS = "SELECT p_partkey AS id, p_name AS title, p_brand AS brand, CAST(p_size AS BIGINT) AS size"
 
 
-def _back(docs, *fields):
-    """Typed columns of JSON text, by a schema of the fields: (column, path, type)."""
+def _back(docs, *fields, text=None):
+    """Typed columns of JSON text, by a schema of the fields: (column, path, type); and the text itself, if named."""
     v = C.parsed("value")
-    return docs.select(F.col("key").alias("id"), *(C.find(v, p, k).alias(c) for c, p, k in fields))
+    return docs.select(F.col("key").alias("id"), *(C.find(v, p, k).alias(c) for c, p, k in fields), *([F.col("value").alias(text)] if text else []))
 
 
 @query("thin_cards", "SELECT l_orderkey AS id, l_partkey AS part, l_quantity AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -61,7 +61,7 @@ def card_lines_query(spark, d):
 @query("keep_list", PARTS.replace("p_name", "CAST(NULL AS VARCHAR)") + ", '{\"id\":' || p_partkey || ',\"meta\":{\"brand\":\"' || p_brand || '\",\"size\":' || p_size || '}}' AS text FROM part")
 def keep_list(spark, d):
     docs = part_docs(spark, d).withColumn("value", C.keep(F.col("value"), ["meta.size", "meta.brand", "id", "nothing.at.all"]))
-    return _back(docs, ("title", "title", "string"), ("brand", "meta.brand", "string"), ("size", "meta.size", "bigint")).join(docs.select(F.col("key").alias("id"), F.col("value").alias("text")), "id")
+    return _back(docs, ("title", "title", "string"), ("brand", "meta.brand", "string"), ("size", "meta.size", "bigint"), text="text")
 
 
 @query("keep_arrays", f"WITH {LINES} SELECT l_orderkey AS id, n, max(CASE WHEN rn = 1 THEN l_partkey END) AS first, max(CASE WHEN rn = n THEN l_partkey END) AS last, least(n, 2) AS two FROM lines GROUP BY l_orderkey, n")
@@ -97,7 +97,14 @@ def sizes(spark, d):
 def transform_pipeline(spark, d):
     pipeline = TransformPipeline().keep(["id", "title", "price", "meta.brand"]).rename("title", "name").drop("price").drop("not there").inject("v", "v0").inject("v", "v1")
     docs = part_docs(spark, d).withColumn("value", pipeline.apply(F.col("value")))
-    return _back(docs, ("name", "name", "string"), ("brand", "meta.brand", "string"), ("version", "v", "string")).join(docs.select(F.col("key").alias("id"), F.col("value").alias("text")), "id")
+    return _back(docs, ("name", "name", "string"), ("brand", "meta.brand", "string"), ("version", "v", "string"), text="text")
+
+
+@query("transform_style", "SELECT p_partkey AS id, '{' || chr(10) || '  \"id\": ' || p_partkey || ',' || chr(10) || '  \"meta\": {' || chr(10) || '    \"size\": ' || p_size || chr(10) || '  }' || chr(10) || '}' AS text FROM part")
+def transform_style(spark, d):
+    """The style of a pipeline holds for its keep steps."""
+    pipeline = TransformPipeline().keep(["id", "title", "meta.size"]).style(2).keep(["id", "meta.size"])
+    return part_docs(spark, d).select(F.col("key").alias("id"), pipeline.apply(F.col("value")).alias("text"))
 
 
 @query("transform_jmes", f"WITH {LINES} SELECT l_orderkey AS id, count(*) AS n, max(CASE WHEN rn = 1 THEN l_partkey END) AS first FROM lines GROUP BY l_orderkey")
