@@ -77,7 +77,12 @@ def with_fingerprint(documents: DataFrame, text_col: str, name: str) -> DataFram
 
 
 def links(distinct: DataFrame, hot: int = 64) -> DataFrame:
-    """Links a, b (a < b) that connect exactly what Hamming distances of at most two connect.
+    """Links a, b (a < b) that connect exactly what Hamming distances of at most two connect; see _links."""
+    return _links(distinct, hot)[0]
+
+
+def _links(distinct: DataFrame, hot: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The links, and the table that they are read from.
 
     distinct: one long column f of distinct fingerprints. Buckets of up to hot fingerprints are fetched and verified pair by
     pair; larger ones go by the balls of the other half.
@@ -95,16 +100,17 @@ def links(distinct: DataFrame, hot: int = 64) -> DataFrame:
     points = crowded.selectExpr("seg", "key", "f", "explode(CASE WHEN off = 1 THEN array(rest) ELSE concat(array(rest), transform(sequence(0, 31), b -> rest ^ shiftleft(1L, b))) END) AS point")
     stars = points.groupBy("seg", "key", "point").agg(F.collect_set("f").alias("fs")).where(F.size("fs") > 1)
     stars = stars.select(F.array_min("fs").alias("a"), F.explode("fs").alias("b")).where("a < b AND bit_count(a ^ b) <= 2")
-    return near.union(stars).distinct()
+    return near.union(stars).distinct(), hits
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, *done: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component, for every node that has a link and isn't itself the root.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until nothing changes. Each round is a written
-    table; only a count and a checksum reach the driver.
+    table; only a count and a checksum reach the driver. Tables done are removed once the edges are read.
     """
     edges, before = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "components"), None
+    discard(*done)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -121,7 +127,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def roots(distinct: DataFrame) -> DataFrame:
     """f, root for every distinct fingerprint; root is the fingerprint that stands for its component."""
-    linked = components(links(distinct))
+    linked = components(*_links(distinct))
     return distinct.join(linked, F.col("f") == F.col("node"), "left").select("f", F.coalesce("root", "f").alias("root"))
 
 

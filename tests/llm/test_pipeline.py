@@ -65,3 +65,32 @@ def test_everything_left_is_packed(steps):
 def test_run_gives_the_same(spark, sf_dir, steps):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select(columns).collect())) == sorted(map(tuple, steps[5].select(columns).collect()))
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty, blank and very long texts, repeated rows and extra columns whose names clash, stage by stage."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    clash = ["quality_score", "N_WORDS", "cutoffs", "row", "fingerprint_", "removed", "kept_bytes", "text_hash", "salt", "f", "stratum"]
+    rows = docs
+    long = " ".join(f"word{i}" for i in range(60_000))
+    for doc_id, text in ((None, None), (None, ""), (9_000_001, None), (9_000_002, " \n\t"), (9_000_003, long), (9_000_003, long), (9_000_003, long), (None, long)):
+        one = {"doc_id": F.lit(doc_id), "text": F.lit(text)}
+        rows = rows.unionByName(docs.limit(1).select(*(one.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in docs.columns)))
+    rows = rows.select("*", *(F.lit(1).alias(c) for c in clash))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, sf_dir)
+        if name == "best_fit_packing":
+            assert out.where("doc_id = 9000003 AND piece = 0").count() == 3 and out.where("doc_id = 9000001").select("length").first()[0] == 1
+            continue
+        assert out.columns == rows.columns
+        found = {(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").where("doc_id > 9000000 OR doc_id IS NULL").collect()}
+        if name == "quality_rules":
+            assert (9_000_001, None) not in found and (9_000_002, " \n\t") not in found
+        if name == "simhash_near_dedup":
+            assert found == {(9_000_001, None), (9_000_003, long)}
+        if name == "suffix_array_dedup":
+            assert (9_000_003, "") in found and (9_000_001, None) in found
+        assert stage(spark, rows.limit(0), sf_dir).count() == 0
