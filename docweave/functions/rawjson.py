@@ -13,9 +13,18 @@ from json.encoder import encode_basestring as quoted
 from docweave.errors import DecodeError, IndexOutOfBounds, InvalidSyntax, PathNotFound, TypeMismatch
 
 _SPACE = re.compile(r"[ \t\n\r]*")
-_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_QUOTED = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+_STRING = re.compile(_QUOTED, re.DOTALL)
 _SCALAR = re.compile(r"[^\s,\]}:\[{\"]+")
-_STRUCTURE = re.compile(r'"(?:[^"\\]|\\.)*"|[][{}]', re.DOTALL)
+#: A member up to its value, or with it where that is a string or scalar; an element likewise.
+_PLAIN = rf'({_QUOTED}|[^\s,\]}}:\[{{"]+)[ \t\n\r]*'
+_MEMBER = re.compile(rf"[ \t\n\r]*({_QUOTED})[ \t\n\r]*:[ \t\n\r]*(?:{_PLAIN}(?=[,}}]))?", re.DOTALL)
+_ELEMENT = re.compile(rf"[ \t\n\r]*(?:{_PLAIN}(?=[,\]]))?", re.DOTALL)
+_STRUCTURE = re.compile(_QUOTED + r"|[][{}]", re.DOTALL)
+_DEEP = re.compile(_QUOTED + r'|[][{}]|[^\s,:\][{}"]+', re.DOTALL)
+_BLANKS = re.compile(f"({_QUOTED})" + r"|[ \t\n\r]+", re.DOTALL)
+#: The standard library's scanner of one value, which says where it ends, and the most text that it is given: it builds what it reads.
+_SCAN, _SCANNED = json.JSONDecoder(strict=False).scan_once, 1 << 24
 NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
 
 
@@ -32,6 +41,11 @@ def value_end(text: str, at: int) -> int:
             raise InvalidSyntax("an unfinished string")
         return found.end()
     if first in ("{", "["):
+        if len(text) - at <= _SCANNED:
+            try:
+                return _SCAN(text, at)[1]
+            except (ValueError, StopIteration, RecursionError):
+                pass  # not valid throughout, or too deep: where its brackets close counts
         depth = 0
         for found in _STRUCTURE.finditer(text, at):
             sign = found[0]
@@ -64,21 +78,23 @@ def member_spans(text: str):
     if text[at : at + 1] == "}":
         return
     while True:
-        key_end = value_end(text, at) if text[at : at + 1] == '"' else -1
-        if key_end < 0:
-            raise InvalidSyntax(f"no key at {at}")
-        colon = skip_space(text, key_end)
-        if text[colon : colon + 1] != ":":
-            raise InvalidSyntax(f"no colon at {colon}")
-        start = skip_space(text, colon + 1)
-        end = value_end(text, start)
-        yield at, key_end, start, end
-        at = skip_space(text, end)
-        if text[at : at + 1] == "}":
+        found = _MEMBER.match(text, at)
+        if not found:
+            raise InvalidSyntax(f"no key and colon at {at}")
+        start, end = found.span(2)
+        if start >= 0:  # a string or scalar
+            at = found.end()
+        else:
+            start = found.end()
+            end = value_end(text, start)
+            at = skip_space(text, end)
+        yield *found.span(1), start, end
+        sign = text[at : at + 1]
+        if sign == "}":
             return
-        if text[at : at + 1] != ",":
+        if sign != ",":
             raise InvalidSyntax(f"no comma at {at}")
-        at = skip_space(text, at + 1)
+        at += 1
 
 
 def element_spans(text: str):
@@ -87,14 +103,21 @@ def element_spans(text: str):
     if text[at : at + 1] == "]":
         return
     while True:
-        end = value_end(text, at)
-        yield at, end
-        at = skip_space(text, end)
-        if text[at : at + 1] == "]":
+        found = _ELEMENT.match(text, at)
+        start, end = found.span(1)
+        if start >= 0:
+            at = found.end()
+        else:
+            start = found.end()
+            end = value_end(text, start)
+            at = skip_space(text, end)
+        yield start, end
+        sign = text[at : at + 1]
+        if sign == "]":
             return
-        if text[at : at + 1] != ",":
+        if sign != ",":
             raise InvalidSyntax(f"no comma at {at}")
-        at = skip_space(text, at + 1)
+        at += 1
 
 
 def key_token(key: str) -> str:
@@ -168,7 +191,7 @@ def find(text: str, steps) -> str:
 
 def compacted(text: str) -> str:
     """The value without white space outside strings."""
-    return re.sub(r'("(?:[^"\\]|\\.)*")|[ \t\n\r]+', lambda m: m[1] or "", text, flags=re.DOTALL)
+    return _BLANKS.sub(lambda m: m[1] or "", text)
 
 
 def indented(text: str, indent: int) -> str:
@@ -186,7 +209,7 @@ def indented(text: str, indent: int) -> str:
 def depth_of(text: str) -> int:
     """How many containers the deepest value lies in: 1 for {"a":1} and [[]], 3 for [[[1]]], 0 for a scalar or an empty container."""
     depth = deepest = 0
-    for found in re.finditer(r'"(?:[^"\\]|\\.)*"|[][{}]|[^\s,:\][{}"]+', text, re.DOTALL):
+    for found in _DEEP.finditer(text):
         sign = found[0]
         if sign in "}]":
             depth -= 1
