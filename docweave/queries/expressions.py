@@ -101,6 +101,19 @@ def exact_tier(spark, d):
     return order_docs(spark, d).select(F.col("key").alias("id"), C.jmes_exact(F.col("value"), "lines[*].part").alias("parts"))
 
 
+@query("exact_values", "SELECT p_partkey AS id, '1' AS spaced, 'true' AS same, 'true' AS held, true AS variant, 'true' AS decoded, '[[' || p_size || ',' || p_size || '.0]]' AS groups, CAST(NULL AS VARCHAR) AS deep, CAST(NULL AS VARCHAR) AS lone FROM part")
+def exact_values(spark, d):
+    """Values count, not how they are written: white space in empty containers, lexemes of numbers, escapes. Hostile rows give NULL."""
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit('{"e":[ ],"n":[1.0],"a":["\\u0062"],"k":['), size, F.lit(","), size, F.lit(".0]}"))
+    deep = F.concat(F.repeat(F.lit("["), F.lit(3000)), F.repeat(F.lit("]"), F.lit(3000)))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), C.jmes_exact(text, "e || `1`").alias("spaced"), C.jmes_exact(text, "n == `[1]`").alias("same"), C.jmes_exact(text, "contains(n, `1`)").alias("held"),
+        C.jmes_as(C.parsed(text), "contains(n, `1`)", "boolean").alias("variant"), C.jmes_exact(text, "contains(a, 'b')").alias("decoded"), C.jmes_exact(text, "group_by(k, &@)").alias("groups"),
+        C.jmes_exact(deep, "@ == `[[1]]` && contains(@, @)").alias("deep"), C.pretty(F.when(F.col("p_partkey") > 0, '{"a":"\\ud800"}')).alias("lone"),
+    )
+
+
 @query("exact_keys", "SELECT p_partkey AS id, '[\"id\",\"title\",\"price\",\"meta\",\"tags\"]' AS keys, '{\"s\":' || p_size || ',\"n\":null}' AS cut FROM part")
 def exact_keys(spark, d):
     docs, text = part_docs(spark, d), F.col("value")
