@@ -326,7 +326,7 @@ def delete_key(texts: list[bytes], steps, key: str, missing: bool = False) -> li
 
 def delete(texts: list[bytes], op: dict) -> list:
     *parents, last = op["path"] or (0,)
-    return delete_key(texts, parents, last) if isinstance(last, str) else [None] * len(texts)
+    return (delete_key if isinstance(last, str) else delete_index)(texts, tuple(parents), last) if op["path"] else [None] * len(texts)
 
 
 def append(texts: list[bytes], op: dict) -> list:
@@ -340,6 +340,46 @@ def append(texts: list[bytes], op: dict) -> list:
     return out
 
 
+def _by_doc(found: Values, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the value of each of n texts begins and ends; -1 for those without."""
+    begin, end = np.full(n, _NONE), np.full(n, _NONE)
+    begin[found.docs], end[found.docs] = found.begin, found.end
+    return begin, end
+
+
+def insert(texts: list[bytes], steps, index: int, value: str) -> list:
+    """edit.insert of each text; a place past the end is left to single texts."""
+    b, out = Batch(texts), [None] * len(texts)
+    there = b.find((*steps, index))
+    _spliced(b, out, there.docs, there.begin, there.begin, f"{value},".encode())
+    arrays = b.find(steps)
+    if len(b.at):
+        arrays = arrays.where((arrays.token >= 0) & (b.sign[np.maximum(arrays.token, 0)] == _ARRAY))
+        if index:
+            last = np.zeros(len(texts), dtype=bool)
+            last[b.find((*steps, index - 1)).docs] = True
+        else:
+            last = np.ones(len(texts), dtype=bool)
+        last[there.docs] = False
+        ends = arrays.where(last[arrays.docs])
+        _spliced(b, out, ends.docs, ends.end - 1, ends.end - 1, f"{',' if index else ''}{value}".encode())
+    return out
+
+
+def delete_index(texts: list[bytes], steps, index: int) -> list:
+    """edit.delete_index of each text."""
+    b, out, n = Batch(texts), [None] * len(texts), len(texts)
+    own = b.find((*steps, index))
+    array_begin, array_end = _by_doc(b.find(steps), n)
+    then, _ = _by_doc(b.find((*steps, index + 1)), n)
+    _, before = _by_doc(b.find((*steps, index - 1)), n) if index else (None, np.full(n, _NONE))
+    d = own.docs
+    more = then[d] >= 0
+    begin = np.where(index == 0, array_begin[d] + 1, np.where(more, own.begin, before[d]))
+    _spliced(b, out, d, begin, np.where(more, then[d], array_end[d] - 1), b"")
+    return out
+
+
 def rename(texts: list[bytes], steps, old: str, new: str, taken: bool = True, missing: bool = False) -> list:
     """edit.rename of each text; a taken name, looked for if asked, and a missing one, but with `missing`, are left to single texts."""
     b, out = Batch(texts), [None] * len(texts)
@@ -422,6 +462,8 @@ EDITS = {
     "upsert": upsert,
     "delete": delete,
     "append": append,
+    "prepend": lambda t, o: insert(t, o["path"], 0, o["value"]),
+    "insert": lambda t, o: insert(t, o["path"], o["index"], o["value"]),
     "rename": lambda t, o: rename(t, o["path"], o["old"], o["new"]),
     "merge_shallow": merge_shallow,
     "merge_patch": lambda t, o: merge_patch(t, o["path"], o["value"]),

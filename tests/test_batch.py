@@ -56,6 +56,9 @@ def test_paths_and_edits(texts, path):
     agree(texts, lambda b: batch.lengths(b, [path, ("a",)]), lambda t: len(rawjson.find(t, path).encode()) + len(rawjson.find(t, ("a",)).encode()), 0)
     agree(texts, lambda b: batch.set_value(b, {"path": path, "value": "[9]"}), lambda t: edit.set_value(t, path, "[9]"), 0)
     agree(texts, lambda b: batch.append(b, {"path": path, "value": "9"}), lambda t: edit.append(t, path, "9"), 0)
+    for index in (0, 1, 2):
+        agree(texts, lambda b: batch.insert(b, path, index, "9"), lambda t: edit.insert(t, path, index, "9"), 0)
+        agree(texts, lambda b: batch.delete_index(b, path, index), lambda t: edit.delete_index(t, path, index), 5 if path == () and index < 2 else 0)
     if path and isinstance(path[-1], str):
         agree(texts, lambda b: batch.upsert(b, {"path": path, "value": "[9]"}), lambda t: edit.upsert(t, path, "[9]"), 0)
         agree(texts, lambda b: batch.delete(b, {"path": path}), lambda t: edit.delete(t, path), 0)
@@ -81,7 +84,7 @@ def test_depth_projections_pipelines(texts):
     assert C._simple(parse("list[0]")) is None and C._simple(parse("list[*].a | [0]")) is None
     for p in (TransformPipeline().keep(["a.b", "e"]).rename("e", "f").inject("g", [1]), TransformPipeline().drop("a").rename("b", "a").drop("zz")):
         agree(texts, lambda b: batch.transformed(b, p.steps, p.chosen), p.run, 300)
-    ops = edit.Edits().upsert("n", 1).merge_patch("", {"a": {"x": None, "y": 2}}).merge_shallow("", {"e": {}}).delete("n")
+    ops = edit.Edits().upsert("n", 1).merge_patch("", {"a": {"x": None, "y": 2}}).merge_shallow("", {"e": {}}).delete("n").upsert("l", [1]).prepend("l", 0).insert("l", 1, 5).delete("l[2]")
     agree(texts, lambda b: batch.edited(b, ops.ops), ops.apply, 300)
 
 
