@@ -232,7 +232,7 @@ def format_chats(parts: DataFrame, id_col: str, order_col: str, text_col: str, m
     begins, and turn numbers its turns from 0. The states are those of one Viterbi over the whole transcript, wherever it is divided.
     Rows are streamed in order: after most_lines lines those are given out on whose states all best paths agree.
 
-    Defined cases: null texts are empty lines; blank transcripts give no turns. Null ids are one transcript, null orders come first.
+    Defined cases: null texts are empty lines; turns of blank content are left out, so blank transcripts give none. Null ids are one transcript, null orders come first.
     Repeated rows repeat their lines; rows of equal order come in the order of their texts. An empty table gives no rows. Other
     columns are ignored.
     """

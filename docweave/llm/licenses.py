@@ -490,7 +490,10 @@ def window_at(text: bytes | None, where: int, longest: int) -> bytes:
 def background_windows(documents: DataFrame, id_col: str, text_col: str, limit: int) -> list[bytes]:
     """One window, from any place, of each of at most `limit` ids' texts; ids are chosen by a hash."""
     longest = max(len(words_of(t.encode())) for own in templates().values() for t in own)
-    ids = documents.select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(limit).distinct()  # at most `limit` ids are broadcast
+    space = 1 << 30
+    share = min(space, space * (2 * limit + 100) // max(documents.count(), 1))  # a count of rows: footers of Parquet files alone are read
+    ids = documents.select(F.col(id_col).alias("i")).where(F.pmod(F.xxhash64("i"), F.lit(space)) < share)
+    ids = ids.distinct().orderBy(F.xxhash64("i"), "i").limit(limit)  # at most `limit` ids are broadcast
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("where"))
 
