@@ -86,3 +86,22 @@ def test_without_labels_or_rows(spark):
     df, labels, _, _ = corpus(spark, 20)
     assert set(quality_scores(df, labels.limit(0)).toPandas().score) == {0.5}
     assert quality_scores(df.limit(0), labels).count() == 0 and keep_by_quality(df.limit(0), labels).count() == 0
+
+
+def test_ties_with_the_last_neighbour_vote():
+    """Ten copies of one text with both labels, three neighbours: all ten vote, in whatever order they were learnt."""
+    rng = np.random.default_rng(2)
+    copy = b"the same words over and over again"
+    others = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"], 12)).encode() for _ in range(30)]
+    texts, y = [copy] * 10 + others, np.array([1, 1, 1, 0, 0, 0, 0, 0, 0, 0] + [1, 0] * 15)
+    for seed in range(4):
+        order = np.random.default_rng(seed).permutation(len(texts))
+        model = Neighbours.fit(term_weights([texts[i] for i in order]), y[order], 16, 3, 8.0)
+        assert abs(model.scores([copy])[0] - 0.3) < 1e-3
+
+
+def test_long_and_null_texts():
+    texts = [b"short text of some words " * 3, b"lorem ipsum dolor " * 200_000, None, b"", b" \n"]
+    model = Neighbours.fit(term_weights(texts[:2] * 5), np.array([1, 0] * 5), 8, 3, 8.0)
+    scores = model.scores(texts)
+    assert scores[0] > 0.9 and scores[1] < 0.1 and (scores[2:] == model.prior).all()

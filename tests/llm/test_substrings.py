@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from docweave.llm.substrings import _spans_of, cut_repeats, merged, remove_repeats, repeated_windows, runs_of, sliding_minimum
+from docweave.llm.substrings import _equal_stretches, _spans_of, _stretches, cut_repeats, equal_classes, merged, remove_repeats, repeated_windows, runs_of, sliding_minimum
 from docweave.llm.suffix_array import suffix_array
 
 
@@ -150,3 +150,39 @@ def test_cut_characters_go(spark):
     out = {r["doc_id"]: r["text"] for r in cut_repeats(df).collect()}
     kept = [k.decode(errors="ignore") for k, _, _ in slow([(t or "").encode() for t in texts], 200)]
     assert out == {0: kept[0], 1: kept[1], 2: None, 3: ""} and kept[0].endswith(" tail one") and "é" not in kept[0][1:]
+
+
+def test_equal_classes_match_brute_force():
+    rng = random.Random(8)
+    for _ in range(40):
+        base = [bytes(rng.choice(b"ab\0") for _ in range(rng.choice([1, 99, 100, 101, 250]))) for _ in range(6)]
+        strings = [rng.choice(base) for _ in range(rng.randrange(1, 25))]
+        strings = [s[: len(s) - rng.randrange(2)] or b"x" for s in strings]
+        number = equal_classes(strings)
+        assert all((number[i] == number[j]) == (a == b) for i, a in enumerate(strings) for j, b in enumerate(strings))
+
+
+def test_stretches_join_runs_and_differing_ones_are_looked_into():
+    """Runs of two texts, 80 bytes apart, become one stretch, or several of bounded size; a stretch that differs in one byte gives what its runs still share."""
+    text = bytes(np.random.default_rng(5).integers(97, 123, 2000, dtype=np.uint8))
+    runs = [{"at": 100 + 80 * k, "low": 20, "high": 99, "f": k, "h": -k, "n": 2 + k % 2} for k in range(15)] + [{"at": 1790, "low": 0, "high": 9, "f": 99, "h": 99, "n": 5}]
+    pair = pa.table({"d1": [1], "t1": [11], "d2": [2], "t2": [22], "delta": [7], "key": [5], "runs": [runs[::-1]]}).to_batches()
+    (whole,) = _stretches(pair, 200)
+    assert [(r["doc_id"], r["k"], r["s"], r["e"], r["runs"] and len(r["runs"])) for r in whole.to_pylist()] == [(1, 0, 1, 1400, 15), (2, 1, 8, 1407, None), (1, 0, 1781, 1990, 1), (2, 1, 1788, 1997, None)]
+    (cut,) = _stretches(pair, 200, 500)
+    pieces = cut.to_pylist()
+    assert max(r["e"] - r["s"] for r in pieces) < 800 and {x["f"] for r in pieces for x in r["runs"] or ()} == {r["f"] for r in runs}
+    other = bytearray(b"-" * 7 + text)
+    other[7 + 700] ^= 1
+
+    def fetched(second):
+        rows = [{k: r[k] for k in ("doc_id", "th", "g", "k", "s", "e", "runs")} | {"covered": (text if r["k"] == 0 else bytes(second))[r["s"] : r["e"]]} for r in pieces]
+        return [r for b in _equal_stretches(pa.Table.from_pylist(sorted(rows, key=lambda r: (r["g"], r["k"]))).to_batches(), 200) for r in b.to_pylist()]
+
+    covered = lambda rows, doc: {i for r in rows if r["doc_id"] == doc for i in range(r["s"], r["e"])}
+    same = fetched(b"-" * 7 + text)
+    assert covered(same, 1) == set(range(1, 1400)) | set(range(1781, 1990)) and covered(same, 2) == {i + 7 for i in covered(same, 1)}
+    assert {r["f"] for r in same if r["whole"]} == {r["f"] for r in runs if r["n"] > 2}
+    differ = fetched(other)
+    assert 700 not in covered(differ, 1) and 707 not in covered(differ, 2) and set(range(1, 700)) <= covered(differ, 1)
+    assert {r["f"] for r in differ if r["whole"]} == {r["f"] for r in runs if r["n"] > 2 and not r["at"] - r["high"] <= 700 < r["at"] - r["low"] + 200}

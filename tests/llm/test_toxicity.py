@@ -3,7 +3,8 @@ import zlib
 
 import numpy as np
 
-from docweave.llm.toxicity import ORDERS, distinct_codes, logistic_regression, present, toxicity_scores
+from docweave.llm.labelled import fold
+from docweave.llm.toxicity import ORDERS, Toxicity, distinct_codes, fit_toxicity, gram_codes, logistic_regression, present, toxicity_scores
 
 
 def test_features_are_the_distinct_grams_also_of_long_texts():
@@ -65,3 +66,30 @@ def test_without_labels_or_rows(spark):
     assert set(toxicity_scores(df, labels.limit(0)).toPandas().score) == {0.5}
     assert toxicity_scores(df, labels.where("toxic = 0")).toPandas().score.max() < 0.01
     assert toxicity_scores(df.limit(0), labels).count() == 0
+
+
+def test_scores_match_brute_force():
+    """A score is the sigmoid of the intercept and of the weights of the distinct grams, whatever texts come together and however long they are."""
+    rng = np.random.default_rng(4)
+    table = np.where(rng.random(1 << 20) < 0.3, np.arange(1 << 20), -1)
+    weights = rng.normal(size=1 << 20) * 0.01
+    model = Toxicity(table, weights, -0.25)
+    own = random.Random(6)
+    texts = ["".join(own.choice("abcd É") for _ in range(own.randrange(200))) for _ in range(60)] + [None, "", "abcd É" * 30_000, "x"]
+    for t, score in zip(texts, model.scores(texts)):
+        data = np.frombuffer(b" " + t.lower().encode() + b" " if t else b"", np.uint8)
+        codes = {int(c) for code in gram_codes(np.concatenate([data, np.zeros(6, np.uint8)])) for c in code[: len(data)]} if len(data) else set()
+        z = -0.25 + sum(weights[table[c]] for c in codes if table[c] >= 0)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_copies_count_once(spark):
+    """A text under many ids is one text: the model is that of the table without its copies."""
+    df, labels, truth, rows = corpus(spark, 300)
+    known = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    copies = [(10_000 + k, rows[known[0]][1], "x") for k in range(400)]
+    more = df.union(spark.createDataFrame(copies, df.schema))
+    more_labels = labels.union(spark.createDataFrame([(c[0], truth[known[0]]) for c in copies], labels.schema))
+    train = fold("doc_id", 5) != 0
+    a, b = fit_toxicity(df, labels, train), fit_toxicity(more, more_labels, train)
+    assert (a.table == b.table).all() and len(a.weights)
