@@ -112,3 +112,40 @@ def test_hostile_rows_give_null(spark):
     assert len(out) == len(rows)
     assert out[-1]["c0"] == '{\n  "a": 1\n}' and out[-1]["c13"] == '{"a":2}' and out[-1]["c10"] == 1
     assert out[0]["c0"] is None and out[1]["c0"] is None and out[1]["c10"] == 49_999 and out[5]["c0"] is None
+
+
+def typed_expression(rng):
+    """An expression over orders that the typed tier provides."""
+    test = lambda: rng.choice(["flag == 'R'", "part > `3`", "qty <= `2.5`", "!(flag == 'A')", "note", "part == `2` || flag != 'N'", "part >= `1` && qty < `9`"])
+    rows = rng.choice(["lines[*]", "lines[1:]", f"lines[?{test()}]", f"lines[?{test()} && {test()}]"])
+    return rng.choice([
+        lambda: f"{rows}.part", lambda: f"{rows}.{{p: part, q: qty, f: flag}}", lambda: f"length({rows})", lambda: f"sum({rows}.part)", lambda: f"max({rows}.qty)",
+        lambda: f"{rows} | [0].part", lambda: f"{rows}.[part, part]", lambda: f"join('-', {rows}.flag)", lambda: "status", lambda: "lines[-1].flag", lambda: f"sort({rows}.part)",
+    ])()
+
+
+def test_three_tiers_agree(spark):
+    from docweave.operators.frames import typed
+    from docweave.plans.typed import Unsupported
+
+    rng = random.Random(21)
+    schema = "id bigint, status string, lines array<struct<part: bigint, qty: double, flag: string, note: string>>"
+    docs = []
+    for i in range(25):
+        lines = [{"part": rng.randrange(6), "qty": rng.choice([0.5, 2.5, 4.0]), "flag": rng.choice("RAN")} | ({"note": "x"} if rng.random() < 0.4 else {}) for _ in range(1 + rng.randrange(5))]
+        docs.append({"id": i, "status": rng.choice(["F", "O"]), "lines": lines})
+    df = spark.createDataFrame([(d["id"], json.dumps(d)) for d in docs], "id int, t string").cache()
+    met = 0
+    for e in sorted({typed_expression(rng) for _ in range(40)}):
+        try:
+            out = typed(df, "t", e, schema, "r")
+        except Unsupported:
+            continue
+        met += 1
+        made = F.to_json(F.struct(F.col("r").alias("r")))
+        for r in out.select("id", made.alias("typed"), F.to_json(C.jmes(C.parsed("t"), e)).alias("variant")).collect():
+            got = json.loads(r["typed"]).get("r")
+            exact = plain(json.loads(evaluate(parse(e), json.dumps(docs[r["id"]]))))
+            assert plain(json.loads(r["variant"] or "null")) == exact, e
+            assert plain(got) == exact or got is None and exact is None, (e, got, exact)
+    assert met >= 15
