@@ -60,6 +60,26 @@ def present(documents: list[str | None], table: np.ndarray) -> tuple[np.ndarray,
     return both >> _BITS, both & ((1 << _BITS) - 1)
 
 
+def present_in_parts(documents: list[str | None], table: np.ndarray, most: int = 1 << 17):
+    """present, for texts of about `most` characters together: (first row, rows, row, feature). A longer text is looked at by its codes alone, so that
+    memory does not follow it, nor how many features there are."""
+    at, size, scratch = 0, 0, None
+    for i, text in enumerate([*documents, None]):
+        n = len(text or "")
+        if i == len(documents) or size + n > most:
+            if i > at:
+                yield at, i - at, *present(documents[at:i], table)
+            at, size = i, 0
+        if n > most:
+            scratch = np.zeros(1 << _BITS, dtype=bool) if scratch is None else scratch
+            found = table[distinct_codes(text, scratch)]
+            found = np.sort(found[found >= 0]).astype(np.int64)
+            yield i, 1, np.zeros(len(found), np.int64), found
+            at = i + 1
+        else:
+            size += n
+
+
 def logistic_regression(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int, ridge: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights and intercept; sparse rows as (row, feature) pairs, `value` by feature. Adam on the full data, from zero."""
     w, b = np.zeros(size), 0.0
@@ -87,19 +107,20 @@ class Toxicity:
     def scores(self, documents: list[str | None]) -> np.ndarray:
         z = np.full(len(documents), self.intercept)
         if len(self.weights):
-            row, feature = present(documents, self.table)
-            z += np.bincount(row, weights=self.weights[feature], minlength=len(z))
+            for first, rows, row, feature in present_in_parts(documents, self.table):
+                z[first : first + rows] += np.bincount(row, weights=self.weights[feature], minlength=rows)
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="toxic", limit=16000, least_z=3.0, least_ratio=1.0) -> Toxicity:
-    """Fits on at most `limit` labelled ids, half of them toxic.
+    """Fits on at most `limit` labelled ids, half of them toxic; texts of one label that are alike count once.
 
     The features, of 2**20 codes, are those whose log-count ratio is at least least_ratio and least_z standard errors away from zero;
     grams that merely follow a text's language are not.
     """
     marks = labels.select(F.col(id_col), F.col(label_col))
-    sample = stored(labelled_sample(documents, marks, id_col, text_col, label_col, train, {0: limit // 2, 1: limit // 2}), "toxic-sample")
+    sample = labelled_sample(documents, marks, id_col, text_col, label_col, train, {0: limit // 2, 1: limit // 2})
+    sample = stored(sample.groupBy("text", "y").agg(F.max("whole").alias("whole")), "toxic-sample")
     sizes = {r["y"]: (r["n"], r["whole"]) for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).collect()}
     if len(sizes) < 2:
         return Toxicity(np.full(1 << _BITS, -1, np.int32), np.zeros(0), {(): 0.0, (0,): -20.0, (1,): 20.0}[tuple(sizes)])
@@ -125,10 +146,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train, id_col="doc_id"
 
     def pick(batches):
         for b in batches:
-            texts = b.column(0).to_pylist()
-            row, feature = present(texts, table)
-            edges = np.searchsorted(row, np.arange(len(texts) + 1))
-            found = [feature[a:z].astype(np.int32).tobytes() for a, z in zip(edges, edges[1:])]
+            found = []
+            for _, rows, row, feature in present_in_parts(b.column(0).to_pylist(), table):
+                edges = np.searchsorted(row, np.arange(rows + 1))
+                found += [feature[a:z].astype(np.int32).tobytes() for a, z in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["features", "y"])
 
     rows = mapped(sample.select("text", "y"), pick, "features binary, y int").toPandas().sort_values(["y", "features"])
@@ -157,7 +178,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     def add(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            scores = np.concatenate([shared.value.scores(texts[at : at + 1000]) for at in range(0, len(texts), 1000)] or [np.zeros(0)])
+            scores = shared.value.scores(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
