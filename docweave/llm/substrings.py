@@ -7,8 +7,9 @@ is the same string. That deals the suffixes of the corpus into buckets by a key
 1. each text gives a row for each run of windows with one anchor: hash of the anchor, 128-bit hash of the bytes the run covers;
 2. anchors that occur once are dropped; of runs alike by their hash, which are one class, the bytes of two are fetched;
 3. the runs fetched for an anchor meet in a task: the linear suffix sorter orders what follows and what precedes the anchor, common
-   prefixes of neighbours are compared byte by byte, and a window repeats if another run agrees with it far enough on both
-   sides. So it is the sorter that finds two runs of a class equal; only then do all others of the class count as repeated too.
+   prefixes of neighbours are compared byte by byte, and a window repeats if another run agrees with it far enough on both sides;
+4. where an anchor has one class only, the two runs fetched join those beside them in the same two texts to stretches, and the sorter
+   finds these equal. So no two runs are equal but by the sorter; only then do all others of a class count as repeated too.
 
 A bucket with more than `cap` distinct runs is not brought together: its runs are cut into shorter ones, whose windows share
 more bytes, and dealt out by those. At the last level a run is a single window.
@@ -20,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,9 @@ _POSITION = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 22
 _RUN = [("at", pa.int64()), ("low", pa.int16()), ("high", pa.int16()), ("g", pa.int64()), ("f", pa.int64()), ("h", pa.int64())]
 _RUN_DDL = "at long, low short, high short, g long, f long, h long"
+#: The runs of a stretch: places within it, class, and how many rows the class has.
+_INNER = pa.list_(pa.struct([("at", pa.int64()), ("low", pa.int16()), ("high", pa.int16()), ("f", pa.int64()), ("h", pa.int64()), ("n", pa.int64())]))
+_INNER_DDL = "array<struct<at: long, low: short, high: short, f: long, h: long, n: long>>"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -226,6 +231,95 @@ def _spans_of(batches, length, least):
             yield out
 
 
+def equal_classes(strings: list[bytes]) -> np.ndarray:
+    """Numbers of the strings, alike for equal ones: neighbours in the order of suffix_array, over BLOCK-byte symbols, are compared."""
+    wide = np.array([-(-len(s) // BLOCK) for s in strings])
+    padded = np.frombuffer(b"".join(s.replace(b"\0", b"\xff").ljust(w * BLOCK, b"\0") for s, w in zip(strings, wide.tolist())), f"S{BLOCK}")
+    _, rank = np.unique(padded, return_inverse=True)
+    begin = np.cumsum(wide + 1) - wide - 1
+    symbols = np.zeros(len(rank) + len(strings), dtype=np.int64)  # each string ends by 0
+    symbols[np.arange(len(rank)) + np.repeat(np.arange(len(strings)), wide)] = rank + 1
+    at = np.empty(len(symbols), np.int64)
+    at[np.array(suffix_array(symbols.tolist()), dtype=np.int64)] = np.arange(len(symbols))
+    order = np.argsort(at[begin])
+    number, out = -1, np.empty(len(strings), np.int64)
+    for k, i in enumerate(order.tolist()):
+        number += k == 0 or strings[i] != strings[order[k - 1]]
+        out[i] = number
+    return out
+
+
+def _stretches(batches, length, most: int = 1 << 16):
+    """Runs that two texts have at one distance, joined where they overlap: two rows for each stretch of about `most` bytes or less."""
+    names = ["doc_id", "th", "at", "low", "high", "g", "f", "h", "n", "crowd", "k", "s", "e", "runs"]
+    for b in batches:
+        row, second, starts, ends, keys, inner = [], [], [], [], [], []
+        for i, (key, delta, runs) in enumerate(zip(b.column("key").to_pylist(), b.column("delta").to_pylist(), b.column("runs").to_pylist())):
+            runs.sort(key=lambda r: r["at"] - r["high"])
+            held: list[dict] = []
+            s = e = 0
+            for r in [*runs, None]:
+                a, z = (r["at"] - r["high"], r["at"] - r["low"] + length) if r else (0, 0)
+                if held and (r is None or a > e or e - s >= most):
+                    for k in (0, 1):
+                        row.append(i)
+                        second.append(k)
+                        starts.append(s + delta * k)
+                        ends.append(e + delta * k)
+                        keys.append(xxhash.xxh3_64_intdigest(f"{key} {s}"))
+                        inner.append(None if k else held)
+                    held = []
+                if r:
+                    s, e = (a, z) if not held else (s, max(e, z))
+                    held.append(r | {"at": r["at"] - s})
+        taken, n = pa.array(row, pa.int64()), len(row)
+        second_doc = np.array(second, dtype=bool)
+        side = lambda one, two: pc.if_else(pa.array(second_doc), b.column(two).take(taken), b.column(one).take(taken))
+        zeros = lambda t: pa.array(np.zeros(n, np.int64)).cast(t)
+        columns = [side("d1", "d2"), side("t1", "t2"), pa.array(starts, pa.int64()), zeros(pa.int16()), zeros(pa.int16()), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), zeros(pa.int64()), zeros(pa.int64()), zeros(pa.int64()), zeros(pa.int64())]
+        columns += [pa.array(second, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(inner, _INNER)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _equal_stretches(batches, length, least: int = 1 << 20):
+    """What _spans_of gives, for pairs of stretches; rows come grouped by g. Where two differ after all, their runs are compared one by one."""
+    names = ["doc_id", "th", "s", "e", "f", "h", "whole"]
+
+    def compare(rows):
+        pairs: dict[int, dict[int, dict]] = {}
+        for r in rows:
+            pairs.setdefault(r["g"], {})[r["k"]] = r
+        both = [(p[0], p[1]) for p in pairs.values() if len(p) == 2]
+        number = equal_classes([x["covered"] for p in both for x in p]).reshape(-1, 2)
+        out = []
+        for (a, z), same in zip(both, (number[:, 0] == number[:, 1]).tolist()):
+            if same:
+                out += [(x["doc_id"], x["th"], x["s"], x["e"], 0, 0, False) for x in (a, z)]
+                out += [(a["doc_id"], a["th"], a["s"] + r["at"] - r["high"], a["s"] + r["at"] - r["low"] + length, r["f"], r["h"], True) for r in a["runs"] if r["n"] > 2]
+                continue
+            for r in a["runs"]:
+                own = slice(r["at"] - r["high"], r["at"] - r["low"] + length)
+                found = repeated_windows([a["covered"][own], z["covered"][own]], np.array([r["low"]] * 2), np.array([r["high"]] * 2), length)
+                for x, back in zip((a, z), found):
+                    out += [(x["doc_id"], x["th"], x["s"] + r["at"] - int(d), x["s"] + r["at"] - int(d) + length, 0, 0, False) for d in np.flatnonzero(back)]
+                if found[0, r["low"] : r["high"] + 1].all() and r["n"] > 2:
+                    out.append((a["doc_id"], a["th"], a["s"] + own.start, a["s"] + own.stop, r["f"], r["h"], True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (doc_type, *(pa.int64(),) * 5, pa.bool_()))], names=names) if out else None
+
+    held, size = [], 0
+    for b in batches:
+        doc_type = b.schema.field("doc_id").type
+        for r in b.to_pylist():
+            if size >= least and r["g"] != held[-1]["g"]:
+                if (found := compare(held)) is not None:
+                    yield found
+                held, size = [], 0
+            held.append(r)
+            size += len(r["covered"])
+    if held and (found := compare(held)) is not None:
+        yield found
+
+
 def _cut(batches, length, width):
     """Runs cut at multiples of width; g becomes the hash of the bytes that all windows of the cut share, f and h that of what it covers."""
     for b in batches:
@@ -248,8 +342,8 @@ def _cut(batches, length, width):
 
 
 def _salted(rows: DataFrame) -> DataFrame:
-    """rows with a salt, so many values of it that even a class of all rows is dealt out over them by some 100,000."""
-    salts = max(16, rows.count() // 100_000)
+    """rows with a salt, so many values of it that even a class of all rows is dealt out over them by some 20,000."""
+    salts = max(128, rows.count() // 20_000)
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "at", "low"), F.lit(salts)))
 
 
@@ -259,13 +353,12 @@ def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(keys, ["f", "h", "salt"], "left_semi")
 
 
-def _fetched(classes: DataFrame, cap: int) -> DataFrame:
+def _fetched(known: DataFrame, cap: int) -> DataFrame:
     """The rows whose bytes the sorter needs: one of each class or two, if there are as many, by the key under which they meet.
 
-    classes: g, f, h, n and the first and last row r, r2 of each. Classes of a crowded g meet by cuts, and by themselves to find their rows equal.
+    known: g, f, h, n, the first and last row r, r2 of each class, and how many classes g has. Classes of a crowded g meet by cuts, and by
+    themselves to find their rows equal.
     """
-    crowds = classes.groupBy("g").agg(F.count("*").alias("crowd"))
-    known = classes.join(crowds, "g").where("crowd > 1 OR n > 1")
     row = lambda r, k, g, crowd: F.struct(F.col(r).alias("r"), F.lit(k).alias("k"), g.alias("g"), crowd.alias("crowd"))
     g, crowd, own = F.col("g"), F.col("crowd"), F.xxhash64("g", "f", "h")
     together = F.when(F.col("n") > 1, F.array(row("r", 0, g, crowd), row("r2", 1, g, crowd))).otherwise(F.array(row("r", 0, g, crowd)))
@@ -288,30 +381,40 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
     discard(runs, anchors)
     one = F.struct("doc_id", "th", "at", "low", "high")
     classes = stored(shared.groupBy("g", "f", "h").agg(F.count("*").alias("n"), F.min(one).alias("r"), F.max(one).alias("r2")), "classes")
-    needed = _fetched(classes, cap)
-    columns = ["at", "low", "high", "g", "f", "h", "n", "crowd", "k"]
+    known = classes.join(classes.groupBy("g").agg(F.count("*").alias("crowd")), "g")
+    columns = ["at", "low", "high", "g", "f", "h", "n", "crowd", "k", "s", "e", "runs"]
+    needed = _fetched(known.where("crowd > 1"), cap).withColumns({"s": F.expr("at - high"), "e": F.expr(f"at - low + {length}"), "runs": F.lit(None).cast(_INNER_DDL)})
+    pairs = known.where("crowd = 1 AND n > 1").select("r.*", F.col("r2.doc_id").alias("d2"), F.col("r2.th").alias("t2"), F.expr("r2.at - r.at").alias("delta"), "f", "h", "n")
+    pairs = pairs.withColumnsRenamed({"doc_id": "d1", "th": "t1"}).groupBy("d1", "t1", "d2", "t2", "delta").agg(F.collect_list(F.struct("at", "low", "high", "f", "h", "n")).alias("runs"))
+    pairs = pairs.withColumn("key", F.xxhash64("d1", "t1", "d2", "t2", "delta"))
+    piece_ddl = f"doc_id {kind}, th long, {_RUN_DDL}, n long, crowd long, k int, s long, e long, runs {_INNER_DDL}"
+    needed = needed.select("doc_id", "th", *columns).unionByName(mapped(pairs, lambda b: _stretches(b, length), piece_ddl))
     needed = needed.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("w"))  # some for every 80 bytes of the text
 
     def extract(batches):
-        kinds = [*(t for _, t in _RUN), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [*(t for _, t in _RUN), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), _INNER]
         for b in batches:
             for row, (text, wanted) in enumerate(zip(raw(b.column(2)), b.column(3).to_pylist())):
                 found = [pa.array([w[c] for w in wanted], t) for c, t in zip(columns, kinds)]
                 taken = pa.array([row] * len(wanted), pa.int64())
-                covered = pa.array([text[w["at"] - w["high"] : w["at"] - w["low"] + length] for w in wanted], pa.binary())
+                covered = pa.array([text[w["s"] : w["e"]] for w in wanted], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *found, covered], names=["doc_id", "th", *columns, "covered"])
 
     here = docs.alias("d").join(needed.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.th = w.th")).select("d.doc_id", "d.th", "d.text", "w.w")
-    row_ddl = f"doc_id {kind}, th long, {_RUN_DDL}, n long, crowd long, k int, covered binary"
-    members = mapped(here, extract, row_ddl)
+    members = mapped(here, extract, f"{piece_ddl}, covered binary")
     if not docs.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows give each of their runs more than once
         members = members.dropDuplicates(["doc_id", "th", "at", "low", "g", "k"])
     members = stored(members, "members")
     discard(classes)
+    found_ddl = f"doc_id {kind}, th long, s long, e long, f long, h long, whole boolean"
     width, rows, spans, done = length - GRAM + 1, shared, [], [shared]
     while True:
-        small = members.where(F.col("crowd") <= cap).repartition("g").sortWithinPartitions("g")
-        found = stored(mapped(small, lambda b: _spans_of(b, length, 2 * cap), f"doc_id {kind}, th long, s long, e long, f long, h long, whole boolean"), "found")
+        small = members.where(F.col("crowd").between(1, cap)).drop("s", "e", "runs").repartition("g").sortWithinPartitions("g")
+        found = mapped(small, lambda b: _spans_of(b, length, 2 * cap), found_ddl)
+        if rows is shared:
+            stretches = members.where("crowd = 0").select("doc_id", "th", "g", "k", "s", "e", "runs", "covered").repartition("g").sortWithinPartitions("g")
+            found = found.union(mapped(stretches, lambda b: _equal_stretches(b, length), found_ddl))
+        found = stored(found, "found")
         done += [found, rows]
         spans.append(found.select("doc_id", "th", "s", "e"))
         alike = _of_classes(_salted(rows), found.where("whole").select("f", "h").distinct())
@@ -323,7 +426,8 @@ def repeated_spans(documents: DataFrame, id_col: str, text_col: str, length: int
         rows = stored(mapped(crowded.select("doc_id", "th", *(c for c, _ in _RUN), "covered"), lambda b, w=width: _cut(b, length, w), f"doc_id {kind}, th long, {_RUN_DDL}, covered binary"), "cut-runs")
         each = F.struct("doc_id", "th", "at", "low", "high", "covered")
         classes = rows.groupBy("g", "f", "h").agg(F.count("*").alias("n"), F.min(each).alias("r"), F.max(each).alias("r2"))
-        members, before = stored(_fetched(classes, cap), "members"), members
+        known = classes.join(classes.groupBy("g").agg(F.count("*").alias("crowd")), "g").where("crowd > 1 OR n > 1")
+        members, before = stored(_fetched(known, cap), "members"), members
         discard(before)
     every = reduce(DataFrame.union, spans)
     out = stored(every.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
