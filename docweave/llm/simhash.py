@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import discard, fresh, mapped, raw, stored
+from docweave.llm.common import discard, fresh, joined, mapped, raw, stored
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -92,8 +92,8 @@ def _links(distinct: DataFrame, hot: int = 64) -> tuple[DataFrame, DataFrame]:
     ball = "transform(sequence(0, 31), b -> struct(0 AS seg, hi ^ shiftleft(1L, b) AS key, 1 AS off))"
     probes = halves.selectExpr("f", f"inline(concat(array(struct(0 AS seg, hi AS key, 0 AS off), struct(1 AS seg, lo AS key, 0 AS off)), {ball}))")
     sizes = table.groupBy("seg", "key").agg(F.count("*").alias("n"))
-    hits = stored(probes.join(sizes, ["seg", "key"]).where("off = 1 OR n > 1"), "simhash-hits")
-    fetched = hits.where(F.col("n") <= hot).select("seg", "key", F.col("f").alias("a")).join(table.withColumnRenamed("f", "b"), ["seg", "key"])
+    hits = stored(joined(probes, sizes, ["seg", "key"]).where("off = 1 OR n > 1"), "simhash-hits")
+    fetched = joined(hits.where(F.col("n") <= hot).select("seg", "key", F.col("f").alias("a")), table.withColumnRenamed("f", "b"), ["seg", "key"])
     near = fetched.where("a < b AND bit_count(a ^ b) <= 2").select("a", "b")
     rest = "CASE WHEN seg = 0 THEN f & 4294967295L ELSE shiftrightunsigned(f, 32) END"
     crowded = hits.where(F.col("n") > hot).selectExpr("seg", "key", "off", "f", f"{rest} AS rest")
@@ -114,9 +114,9 @@ def components(edges: DataFrame, *done: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = joined(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = joined(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges, old = stored(small.distinct(), "components"), edges
         discard(old)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -128,7 +128,7 @@ def components(edges: DataFrame, *done: DataFrame) -> DataFrame:
 def roots(distinct: DataFrame) -> DataFrame:
     """f, root for every distinct fingerprint; root is the fingerprint that stands for its component."""
     linked = components(*_links(distinct))
-    return distinct.join(linked, F.col("f") == F.col("node"), "left").select("f", F.coalesce("root", "f").alias("root"))
+    return joined(distinct, linked, F.col("f") == F.col("node"), "left").select("f", F.coalesce("root", "f").alias("root"))
 
 
 def simhash_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,8 +161,8 @@ def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = stored(with_fingerprint(documents.withColumn(uid, F.monotonically_increasing_id()), text_col, f), "near-dedup")
     found = stored(roots(marked.select(F.col(f).alias("f")).distinct()), "near-dedup-roots").select(F.col("f").alias(f), F.col("root").alias(root))
     order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(uid).alias("c"))
-    chosen = marked.select(f, order.alias("o")).groupBy(f).agg(F.min("o").alias("o")).join(found, f).groupBy(root).agg(F.min("o").alias("o"))
-    return marked.join(chosen.select(F.col("o.c").alias(uid)), uid, "left_semi").select(*documents.columns)
+    chosen = joined(marked.select(f, order.alias("o")).groupBy(f).agg(F.min("o").alias("o")), found, f).groupBy(root).agg(F.min("o").alias("o"))
+    return joined(marked, chosen.select(F.col("o.c").alias(uid)), uid, "left_semi").select(*documents.columns)
 
 
 def op7_simhash_near_dedup(spark, sf_dir):

@@ -3,6 +3,8 @@ import re
 
 import xxhash
 
+from docweave.llm import simhash
+from docweave.llm.common import stored
 from docweave.llm.simhash import fingerprints, links, components, near_dedup, simhash_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,3 +99,22 @@ def test_near_dedup_keeps_one_row_of_each_component(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(df).count() == 0 and near_dedup(df).count() == 0
+
+
+def broadcasts(spark, monkeypatch, function):
+    """The plans in which function broadcasts a table to join it, of those that it writes and the one that it returns."""
+    plans = []
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "stored", lambda df, name: stored(plan(df), name))
+    docs = spark.createDataFrame(list(enumerate(corpus(200, seed=7))), "doc_id long, text string")
+    plan(function(docs)).collect()
+    assert any("SortMergeJoin" in p for p in plans)
+    return [p for p in plans if "Broadcast" in p]
+
+
+def test_near_dedup_broadcasts_nothing_that_grows_with_the_corpus(spark, monkeypatch):
+    assert not broadcasts(spark, monkeypatch, near_dedup)
