@@ -145,10 +145,10 @@ def simhash_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = stored(with_fingerprint(docs, "text", "f").select("doc_id", "f"), "simhash")
     each = marked.groupBy("f").agg(F.min("doc_id").alias("least"))
-    named = stored(roots(each.select("f")).join(each, "f"), "simhash-roots")
+    named = stored(joined(roots(each.select("f")), each, "f"), "simhash-roots")
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(whole, "root").select("f", "component_id")
-    return marked.join(ids, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = joined(named, whole, "root").select("f", "component_id")
+    return joined(marked, ids, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,3 +118,7 @@ def broadcasts(spark, monkeypatch, function):
 
 def test_near_dedup_broadcasts_nothing_that_grows_with_the_corpus(spark, monkeypatch):
     assert not broadcasts(spark, monkeypatch, near_dedup)
+
+
+def test_components_broadcast_nothing_that_grows_with_the_corpus(spark, monkeypatch):
+    assert not broadcasts(spark, monkeypatch, simhash_components)
