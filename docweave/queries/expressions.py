@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import columns as C
 from docweave.operators.frames import cards, each, typed
-from docweave.queries.base import LINES, customer_docs, event_docs, order_docs, pack_docs, part_docs, query, table
+from docweave.queries.base import LINES, customer_docs, dealt, event_docs, order_docs, pack_docs, part_docs, query, table
 
 LINE = "ln: int, part: bigint, supp: bigint, qty: double, price: double, flag: string, note: string"
 ORDER = f"id bigint, status string, total double, lines array<struct<{LINE}>>"
@@ -107,7 +107,7 @@ def exact_values(spark, d):
     size = F.col("p_size").cast("string")
     text = F.concat(F.lit('{"e":[ ],"n":[1.0],"a":["\\u0062"],"k":['), size, F.lit(","), size, F.lit(".0]}"))
     deep = F.concat(F.repeat(F.lit("["), F.lit(3000)), F.repeat(F.lit("]"), F.lit(3000)))
-    return table(spark, d, "part").select(
+    return dealt(table(spark, d, "part")).select(
         F.col("p_partkey").alias("id"), C.jmes_exact(text, "e || `1`").alias("spaced"), C.jmes_exact(text, "n == `[1]`").alias("same"), C.jmes_exact(text, "contains(n, `1`)").alias("held"),
         C.jmes_as(C.parsed(text), "contains(n, `1`)", "boolean").alias("variant"), C.jmes_exact(text, "contains(a, 'b')").alias("decoded"), C.jmes_exact(text, "group_by(k, &@)").alias("groups"),
         C.jmes_exact(deep, "@ == `[[1]]` && contains(@, @)").alias("deep"), C.pretty(F.when(F.col("p_partkey") > 0, '{"a":"\\ud800"}')).alias("lone"),

@@ -10,6 +10,7 @@ from docweave.errors import DecodeError, IndexOutOfBounds, InvalidPath, InvalidS
 from docweave.functions import checks, edit, keeping, rawjson
 from docweave.functions.build import ArrayBuilder, JsonWriter, ObjectBuilder
 from docweave.functions.edit import Edits
+from docweave.functions.evaluate import deep_equal
 from docweave.operators import columns as C
 from docweave.operators.frames import JsonFrame, cards, each
 from docweave.operators.plan import Plan
@@ -159,6 +160,30 @@ def test_checks():
             limits.check(text)
 
 
+def test_deeper_is_what_depth_of_says():
+    rng = random.Random(5)
+
+    def said(function):
+        try:
+            return function()
+        except InvalidSyntax as e:
+            return str(e)
+
+    texts = ["", "1", "[", "]", "][", "[[]]", "[[1]]", '["]"]', '{"[":{}}', '{"a":[{"b":"]\\""}]}', '["[', "[\\\"[]", "é[\ud800[]]"]
+    texts += ["[" * n + x + "]" * n for n in (2, 3, 4) for x in ("", "1", "[],[2]", '"["')]
+    texts += ["".join(rng.choice('[]{}",\\1 é') for _ in range(rng.randrange(12))) for _ in range(5000)]
+    for text in texts:
+        for most in (0, 1, 2, 3):
+            assert said(lambda: rawjson.deeper(text, most)) == said(lambda: rawjson.depth_of(text) > most), (text, most)
+
+
+def test_deep_texts_are_not_walked_by_value(monkeypatch):
+    monkeypatch.setattr(rawjson, "depth_of", lambda text: pytest.fail("walked"))
+    with pytest.raises(LimitExceeded):
+        deep_equal("[" * 3000 + "]" * 3000, "[[1]]")
+    assert deep_equal("[" + "1," * 3000 + "1]", "[" + "1," * 3000 + "1.0]")
+
+
 def test_builders():
     made = ObjectBuilder().field("a", 1).null_field("n").field_opt("x", None).field_if(True, "y", [1]).object_field("o", lambda o: o.raw_field("r", " 1.50 ")).array_field("l", lambda b: b.item("q\"").array(lambda c: c.null_item()))
     assert made.finish() == '{"a":1,"n":null,"y":[1],"o":{"r":1.50},"l":["q\\"",[null]]}' and len(made) == 5

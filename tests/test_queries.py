@@ -39,3 +39,7 @@ def test_query_matches_sql(spark, sf_dir, oracle, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_small_file_is_dealt_out_to_all_cores(spark, sf_dir):
+    assert QUERIES["exact_values"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
